@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from .packing import op10_karmarkar_karp
 from .sharding import op9_interleave
+from .suffix_dedup import op2_suffix_merge
 
 
 def queries() -> dict:
     return {
+        "op2_suffix_merge": op2_suffix_merge,
         "op9_interleave": op9_interleave,
         "op10_karmarkar_karp": op10_karmarkar_karp,
     }
