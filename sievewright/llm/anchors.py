@@ -91,26 +91,23 @@ def anchor_runs(values: np.ndarray, bounds: np.ndarray, length: int, k: int) ->
     return {"seq": seq, "at": at, "first": first, "last": last, "anchor": grams[at], "span": span}
 
 
-def settle(group: np.ndarray, depth: np.ndarray, left: Callable[[int], np.ndarray], low: np.ndarray, high: np.ndarray, rank: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+def settle(right: Callable[[int], np.ndarray], left: Callable[[int], np.ndarray], low: np.ndarray, high: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(record, offset) of each window that a record of lower rank holds too.
 
-    Records are in an order in which equal anchors, and equal right contexts, stand together. group: id of the
-    anchor; depth: how many elements from the anchor on are the same as in the record before; left(i): hashes
-    of the elements i to the left of the anchors; low, high: the offsets of the anchor in a record's windows.
+    A record is an anchor and what stands around it; low, high: the offsets that the anchor has in the record's
+    windows. A window equals another of the same offset if both the part from the anchor on and the part before
+    it are the same. right(offset): a class (or hash) of the anchor and what follows it in a window of that
+    offset; left(i): hashes of the elements i to the left of the anchors.
     """
     found: list[tuple[np.ndarray, np.ndarray]] = []
-    before = np.zeros(len(group), np.uint64)
-    fresh = np.ones(len(group), bool)
-    fresh[1:] = group[1:] != group[:-1]
+    before = np.zeros(len(low), np.uint64)
     for offset in range(int(high.max(initial=-1)) + 1):
         if offset:
             before = mix(before * np.uint64(BASE) + left(offset))
         own = np.flatnonzero((low <= offset) & (offset <= high))
         if len(own) < 2:
             continue
-        # What follows the anchor in a window of this offset is the same within a class.
-        right = np.cumsum(fresh | (depth < length - offset)).astype(np.uint64)
-        key = mix(before[own] ^ (right[own] * np.uint64(BASE)))
+        key = mix(before[own] ^ (right(offset)[own].astype(np.uint64) * np.uint64(BASE)))
         order = np.argsort(key)
         key, who = key[order], own[order]
         heads = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
@@ -138,3 +135,9 @@ def covered(size: int, firsts: list[int], lasts: list[int], length: int) -> np.n
     np.add.at(change, np.asarray(firsts, np.int64), 1)
     np.add.at(change, np.asarray(lasts, np.int64) + length, -1)
     return np.cumsum(change[:-1]) > 0
+
+
+def spans(gone: np.ndarray) -> list[dict[str, int]]:
+    """Maximal runs of true values."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
+    return [{"start": int(a), "stop": int(b)} for a, b in edges.reshape(-1, 2)]

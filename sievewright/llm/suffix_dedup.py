@@ -289,10 +289,10 @@ def merged(runs: DataFrame, length: int, gram: int) -> DataFrame:
         lefts = [x for r in rows for x in cut(r["left_sizes"], r["lefts"])]
         width = length - gram
         left = np.frombuffer(b"".join(x.ljust(width, b"\0") for x in lefts), np.uint8).reshape(-1, width)[order]
-        # Two anchors of one hash would be told apart by what follows, which begins with the k-gram.
-        group_id = np.cumsum(depth < gram)
         times = np.unique(np.rec.fromarrays([doc, place >> 16], names="d,p"), return_inverse=True)[1]
-        hit, offset = anchors.settle(group_id, depth, lambda i: anchors.BYTES[left[:, i - 1]], (place >> 8) & 255, place & 255, times, length)
+        hit, offset = anchors.settle(
+            lambda i: np.cumsum(depth < length - i), lambda i: anchors.BYTES[left[:, i - 1]], (place >> 8) & 255, place & 255, times
+        )
         # Places of one document, in the order of documents: a run never crosses to the next.
         ids, which = np.unique(doc[hit], return_inverse=True)
         key, first, last = anchors.ranges(which, (place[hit] >> 16) - offset)
@@ -315,6 +315,16 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
     return marks.select("doc_id", "places").join(per_doc, "doc_id", "full")
 
 
+def window_ranges(places: pa.ListScalar, found: pa.ListScalar) -> tuple[np.ndarray, np.ndarray]:
+    """First and last starts of the windows that settled runs and found ranges hold."""
+    place = places.values.to_numpy() if places.is_valid else np.zeros(0, np.int64)
+    first, last = [(place >> 16) - (place & 255)], [(place >> 16) - ((place >> 8) & 255)]
+    if found.is_valid:
+        first.append(found.values.field(0).to_numpy())
+        last.append(found.values.field(1).to_numpy())
+    return np.concatenate(first), np.concatenate(last)
+
+
 def strip(docs: DataFrame, marks: DataFrame, length: int) -> DataFrame:
     """doc_id, n_bytes, spans (maximal removed runs) and kept (the remaining bytes) of every document."""
 
@@ -326,21 +336,15 @@ def strip(docs: DataFrame, marks: DataFrame, length: int) -> DataFrame:
             for row in range(batch.num_rows):
                 own = data[offsets[row] : offsets[row + 1]]
                 places, found = batch.column(2)[row], batch.column(3)[row]
-                place = places.values.to_numpy() if places.is_valid else np.zeros(0, np.int64)
-                first, last = [(place >> 16) - (place & 255)], [(place >> 16) - ((place >> 8) & 255)]
-                if found.is_valid:
-                    first.append(found.values.field(0).to_numpy())
-                    last.append(found.values.field(1).to_numpy())
-                first, last = np.concatenate(first), np.concatenate(last)
+                first, last = window_ranges(places, found)
                 sizes.append(len(own))
                 if not len(first):
                     kept.append(own.tobytes())
                     spans.append([])
                     continue
                 gone = anchors.covered(len(own), first, last, length)
-                edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
                 kept.append(own[~gone].tobytes())
-                spans.append([{"start": int(a), "stop": int(b)} for a, b in edges.reshape(-1, 2)])
+                spans.append(anchors.spans(gone))
             shape = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
             yield pa.RecordBatch.from_arrays(
                 [ids, pa.array(sizes, pa.int64()), pa.array(spans, shape), pa.array(kept, pa.binary())],
