@@ -29,7 +29,7 @@ GRAIN = 512
 WINDOWS = 128
 END_ID = 1
 #: Distinct chunks that a Python worker remembers the ids of; beyond it the memory starts anew.
-MEMO = 600_000
+MEMO = 1_000_000
 #: Letters whose lower case and composition are the same for each character alone, so that chunks
 #: between white space can be encoded apart from each other.
 PLAIN = r"[\t-\r -~¡-įĲ-ňŊ-ž‐-‧‰-⁞]*"
@@ -102,9 +102,10 @@ def word_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     def learn(fresh: list[str]) -> None:
         split = list(map(words.findall, fresh))
         new = list({p for ps in split for p in ps} - pieces.keys())
-        for at in range(0, len(new), 512):
-            part = new[at : at + 512]
-            found = np.array(model.encode("\n".join(part), add_special_tokens=False).ids, "<u4")
+        parts = [new[at : at + 512] for at in range(0, len(new), 512)]
+        joined = ["\n".join(part) for part in parts]
+        for part, encoding in zip(parts, model.encode_batch_fast(joined, add_special_tokens=False), strict=True):
+            found = np.array(encoding.ids, "<u4")
             raw, ends = found.tobytes(), (np.flatnonzero(last[found]) + 1) * 4
             for piece, a, b in zip(part, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
                 pieces[piece] = raw[a:b]
