@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from .fingerprints import op3_i_match
 from .packing import op10_karmarkar_karp
+from .seed_extend import op4_seed_extend
 from .sharding import op9_interleave
 from .suffix_dedup import op2_suffix_merge
 
@@ -10,6 +12,8 @@ from .suffix_dedup import op2_suffix_merge
 def queries() -> dict:
     return {
         "op2_suffix_merge": op2_suffix_merge,
+        "op3_i_match": op3_i_match,
+        "op4_seed_extend": op4_seed_extend,
         "op9_interleave": op9_interleave,
         "op10_karmarkar_karp": op10_karmarkar_karp,
     }
