@@ -79,7 +79,9 @@ def word_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     across it.
     """
     import json
+    import os
 
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the threads
     import regex
     from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
