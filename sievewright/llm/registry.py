@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .fingerprints import op3_i_match
+from .order_minhash import op6_order_minhash
 from .packing import op10_karmarkar_karp
 from .seed_extend import op4_seed_extend
 from .sharding import op9_interleave
@@ -14,6 +15,7 @@ def queries() -> dict:
         "op2_suffix_merge": op2_suffix_merge,
         "op3_i_match": op3_i_match,
         "op4_seed_extend": op4_seed_extend,
+        "op6_order_minhash": op6_order_minhash,
         "op9_interleave": op9_interleave,
         "op10_karmarkar_karp": op10_karmarkar_karp,
     }
