@@ -20,7 +20,7 @@ INVERSE = pow(BASE, -1, 1 << 64)
 #: Bits of a position within a block; the rest of a 64-bit word orders the k-grams.
 LOW = (1 << 23) - 1
 #: Elements of a block of text that is worked on at once.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -33,7 +33,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE))
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     def table(base: int) -> np.ndarray:
         out = np.full(size, base, np.uint64)
