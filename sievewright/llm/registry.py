@@ -8,6 +8,7 @@ from .packing import op10_karmarkar_karp
 from .seed_extend import op4_seed_extend
 from .sharding import op9_interleave
 from .suffix_dedup import op2_suffix_merge
+from .toxicity import op5_deobfuscate
 
 
 def queries() -> dict:
@@ -15,6 +16,7 @@ def queries() -> dict:
         "op2_suffix_merge": op2_suffix_merge,
         "op3_i_match": op3_i_match,
         "op4_seed_extend": op4_seed_extend,
+        "op5_deobfuscate": op5_deobfuscate,
         "op6_order_minhash": op6_order_minhash,
         "op9_interleave": op9_interleave,
         "op10_karmarkar_karp": op10_karmarkar_karp,
