@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .fingerprints import op3_i_match
+from .nn_descent import op8_nn_descent
 from .order_minhash import op6_order_minhash
 from .packing import op10_karmarkar_karp
 from .seed_extend import op4_seed_extend
@@ -18,6 +19,7 @@ def queries() -> dict:
         "op4_seed_extend": op4_seed_extend,
         "op5_deobfuscate": op5_deobfuscate,
         "op6_order_minhash": op6_order_minhash,
+        "op8_nn_descent": op8_nn_descent,
         "op9_interleave": op9_interleave,
         "op10_karmarkar_karp": op10_karmarkar_karp,
     }
