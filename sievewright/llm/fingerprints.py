@@ -30,6 +30,9 @@ MIN_TERMS = 4
 FEW = 32
 #: (subsets, halvings): a term is in a subset of so many halvings with probability 2 to that power, inverse.
 SUBSETS = ((8, 4), (24, 6), (32, 8))
+TOTAL = sum(n for n, _ in SUBSETS)
+#: Subsets whose terms are sifted together first.
+GROUP = 8
 #: Terms that may be broadcast.
 BROADCAST = 2_000_000
 #: Bounds of the order of documents, in groups of COARSE.
@@ -110,18 +113,38 @@ def with_next(docs: DataFrame) -> DataFrame:
     ).drop("guest")
 
 
-def subset_hashes(found: Column, whole: Column) -> Column:
-    """found: sorted structs (term, member, banded) of a text; whole: hash of all its words."""
+def used_terms(found: Column) -> Column:
+    """Of structs (term, member, banded), the sorted terms that are hashed; null if all words are hashed instead."""
     banded = F.filter(found, lambda t: t["banded"])
-    used = F.when(F.size(banded) >= MIN_TERMS, banded).when((F.size(found) > 0) & (F.size(found) <= FEW), found)
-    subsets = F.sequence(F.lit(0), F.lit(sum(n for n, _ in SUBSETS) - 1))
+    return F.when(F.size(banded) >= MIN_TERMS, F.sort_array(banded)).when((F.size(found) > 0) & (F.size(found) <= FEW), F.sort_array(found))
+
+
+def hash_field(h: Column) -> Column:
+    return F.right(F.concat(F.lit("000"), F.lower(F.hex(h))), F.lit(4))
+
+
+def group_hashes(terms_of_group: Column, group: int) -> Column:
+    """Hashes of the subsets of one group of GROUP; terms_of_group: a column of those in any of them."""
 
     def one(k: Column) -> Column:
-        own = F.array_join(F.transform(F.filter(used, lambda t: F.getbit(t["member"], k) == 1), lambda t: t["term"]), " ")
-        return F.when(own == "", F.lit(NO_TERMS)).otherwise(F.right(F.concat(F.lit("000"), F.lower(F.hex(F.xxhash64(own, k)))), F.lit(4)))
+        own = F.array_join(F.transform(F.filter(terms_of_group, lambda t: F.getbit(t["member"], k) == 1), lambda t: t["term"]), " ")
+        return F.when(own == "", F.lit(NO_TERMS)).otherwise(hash_field(F.xxhash64(own, k)))
+
+    none = F.array(*[F.lit(NO_TERMS)] * GROUP)
+    subsets = F.sequence(F.lit(group * GROUP), F.lit(group * GROUP + GROUP - 1))
+    return F.when(F.size(terms_of_group) == 0, none).otherwise(F.transform(subsets, one))
 
-    apart = F.transform(subsets, lambda k: F.right(F.concat(F.lit("000"), F.lower(F.hex(F.xxhash64(whole, k)))), F.lit(4)))
-    return F.when(used.isNull(), apart).otherwise(F.transform(subsets, one))
+
+def subset_hashes(used: Column, groups: list[Column], whole: Column) -> Column:
+    """used: a column of used_terms; groups: its terms by group of subsets; whole: hash of all words."""
+    everything = F.transform(F.sequence(F.lit(0), F.lit(TOTAL - 1)), lambda k: hash_field(F.xxhash64(whole, k)))
+    return F.when(used.isNull(), everything).otherwise(F.concat(*[group_hashes(g, i) for i, g in enumerate(groups)]))
+
+
+def of_group(used: Column, group: int) -> Column:
+    mask = ((1 << GROUP) - 1) << (group * GROUP)
+    mask = mask - (1 << 64) if mask >> 63 else mask
+    return F.filter(used, lambda t: t["member"].bitwiseAND(F.lit(mask).cast("long")) != 0)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -135,13 +158,14 @@ def fingerprint(rows: DataFrame, keys: list[str], texts: list[str], lex: DataFra
     columns = list(rows.columns)
     for t in texts:
         rows = rows.withColumn(f"{t}_words", terms(F.col(t)))
-    wholes = {f"{t}_whole": F.xxhash64(F.array_sort(f"{t}_words")) for t in texts}
+    wholes = {f"{t}_whole": F.xxhash64(F.sort_array(f"{t}_words")) for t in texts}
     rows = rows.withColumns(wholes)
 
     def side(s: int, t: str) -> Column:
-        few = F.size(f"{t}_words") <= FEW
+        few = F.col(f"{t}_few")
         return F.transform(F.col(f"{t}_words"), lambda w: F.struct(F.lit(s).alias("side"), w.alias("term"), few.alias("few")))
 
+    rows = rows.withColumns({f"{t}_few": F.size(f"{t}_words") <= FEW for t in texts})
     sides = [side(s, t) for s, t in enumerate(texts)]
     mark = F.array(F.struct(F.lit(-1).alias("side"), F.lit("").alias("term"), F.lit(False).alias("few")))
     keep = [c for c in columns if c not in texts] + list(wholes)
@@ -161,10 +185,17 @@ def fingerprint(rows: DataFrame, keys: list[str], texts: list[str], lex: DataFra
 
     def of_side(s: int) -> Column:
         own = F.filter("_found", lambda x: x["side"] == s)
-        return F.array_sort(F.transform(own, lambda x: F.struct(x["term"], x["member"], x["banded"])))
-
-    for s, t in enumerate(texts):
-        gathered = gathered.withColumn(f"{t}_hashes", subset_hashes(of_side(s), F.col(f"{t}_whole")))
+        return F.transform(own, lambda x: F.struct(x["term"].alias("term"), x["member"].alias("member"), x["banded"].alias("banded")))
+
+    # Each step is a column of its own, so that no lambda works one out anew for each element.
+    gathered = gathered.withColumns({f"{t}_own": of_side(s) for s, t in enumerate(texts)})
+    gathered = gathered.withColumns({f"{t}_used": used_terms(F.col(f"{t}_own")) for t in texts})
+    parts = {f"{t}_group{i}": of_group(F.col(f"{t}_used"), i) for t in texts for i in range(TOTAL // GROUP)}
+    gathered = gathered.withColumns(parts)
+    hashes = {
+        f"{t}_hashes": subset_hashes(F.col(f"{t}_used"), [F.col(f"{t}_group{i}") for i in range(TOTAL // GROUP)], F.col(f"{t}_whole")) for t in texts
+    }
+    gathered = gathered.withColumns(hashes).drop(*parts, *(f"{t}_{x}" for t in texts for x in ("own", "used")))
     return gathered.drop("_found", *wholes)
 
 
