@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .fingerprints import op3_i_match
+from .mixing import op1_raking
 from .nn_descent import op8_nn_descent
 from .order_minhash import op6_order_minhash
 from .packing import op10_karmarkar_karp
@@ -14,6 +15,7 @@ from .toxicity import op5_deobfuscate
 
 def queries() -> dict:
     return {
+        "op1_raking": op1_raking,
         "op2_suffix_merge": op2_suffix_merge,
         "op3_i_match": op3_i_match,
         "op4_seed_extend": op4_seed_extend,
