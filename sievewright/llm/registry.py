@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .fingerprints import op3_i_match
+from .line_dedup import op7_edit_join
 from .mixing import op1_raking
 from .nn_descent import op8_nn_descent
 from .order_minhash import op6_order_minhash
@@ -21,6 +22,7 @@ def queries() -> dict:
         "op4_seed_extend": op4_seed_extend,
         "op5_deobfuscate": op5_deobfuscate,
         "op6_order_minhash": op6_order_minhash,
+        "op7_edit_join": op7_edit_join,
         "op8_nn_descent": op8_nn_descent,
         "op9_interleave": op9_interleave,
         "op10_karmarkar_karp": op10_karmarkar_karp,
