@@ -88,7 +88,8 @@ def anchor_runs(values: np.ndarray, bounds: np.ndarray, length: int, k: int) ->
     first, last, at = starts[heads], starts[np.append(heads[1:], len(starts)) - 1], at[heads]
     span = mix((total[last + length] - total[first]) * inverse[first] + (last - first).astype(np.uint64))
     seq = np.searchsorted(bounds, first, side="right") - 1
-    return {"seq": seq, "at": at, "first": first, "last": last, "anchor": grams[at], "span": span}
+    # Least hashes crowd at the low end; mixed once more they are even, as ranges of them must be.
+    return {"seq": seq, "at": at, "first": first, "last": last, "anchor": mix(grams[at]), "span": span}
 
 
 def settle(right: Callable[[int], np.ndarray], left: Callable[[int], np.ndarray], low: np.ndarray, high: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
