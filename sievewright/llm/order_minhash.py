@@ -264,7 +264,7 @@ def near_duplicates(docs: DataFrame, row_id: str = "doc_id", text: str = "text",
     texts = own.join(nodes, own["doc_id"] == nodes["node"]).groupBy("node").agg(F.first("data").alias("data"))
     texts = cut_lineage(texts)
 
-    first = bucket_pairs(members.withColumn("component", F.lit(0).cast("long")), later=False)
+    first = cut_lineage(bucket_pairs(members.withColumn("component", F.lit(0).cast("long")), later=False))
     links = cut_lineage(verify(first, texts, threshold))
     joined = members.join(components(links).withColumnRenamed("component", "c"), "node", "left").withColumn("component", F.coalesce("c", "node")).drop("c")
     group = Window.partitionBy("bucket")
