@@ -87,9 +87,12 @@ def nfc_tokens(text: Column) -> Column:
 def content_shingles(words: Column, n: int = RUN) -> Column:
     """Distinct runs of n words once stop words are dropped, each joined by a blank."""
     content = F.filter(words, lambda w: ~w.isin(*STOP_WORDS))
-    # sequence() would count down from 1 to 0.
-    starts = F.when(F.size(content) >= n, F.sequence(F.lit(1), F.size(content) - n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(content, i, n), " ")))
+    out = content
+    # Zipped with itself shifted; a slice within a lambda would work out the words anew for each of them.
+    for shift in range(1, n):
+        rest = F.greatest(F.size(content) - shift, F.lit(0))
+        out = F.zip_with(F.slice(out, F.lit(1), rest), F.slice(content, F.lit(shift + 1), rest), lambda a, b: F.concat_ws(" ", a, b))
+    return F.array_distinct(out)
 
 
 def statements(text: Column) -> Column:
