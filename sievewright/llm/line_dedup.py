@@ -9,8 +9,8 @@ each l from L - EDITS to L.
 1. Hashes of lines, segments and substrings come from prefix sums, for a block of text at once; equal lines of
    a block go on as one.
 2. Of the keys that lines of different content share, index and probe sides meet in sorted order. There a
-   signature is compared first: words are counted into slots, and EDITS edits change few of them. So lines that
-   share long stretches and differ elsewhere make no pairs, and no row is written for them.
+   signature is compared first: neighbouring characters are counted into slots, and EDITS edits change few counts.
+   So lines that share long stretches and differ elsewhere make no pairs, and no row is written for them.
 3. Pairs are verified by a bit-parallel edit automaton of one bit a diagonal of the band.
 
 Links give classes of lines. The first line of a class (smallest doc_id, then place) stays; its other occurrences
@@ -30,15 +30,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import anchors
-from .common import cut_lineage
+from .common import cut_lineage, release
 from .graph import components
 from .suffix_dedup import LAST_ID
 
 EDITS = 2
 SHORT = 32
 SLOTS = 32
-#: Slots that EDITS edits can change: an edit in a word changes two, one at a word's edge three.
-CHANGED = 3 * EDITS
+#: By how much EDITS edits can change the counts in all slots: each puts at most two pairs in place of two.
+CHANGED = 4 * EDITS
 #: Code points that are hashed at once.
 BLOCK = 1 << 18
 #: Pairs of a group that are generated together with those of others.
@@ -83,21 +83,14 @@ class Hashed:
     def lines(self) -> np.ndarray:
         return self.part(self.start, self.size)
 
-    def signatures(self, ids: np.ndarray) -> list[bytes]:
-        """Sums of word hashes by slot, a byte each."""
-        gap = self.points == 0x20
-        edge = np.zeros(len(gap) + 1, bool)
-        edge[self.start] = edge[-1] = True
-        begin = ~gap
-        begin[1:] &= gap[:-1] | edge[1:-1]
-        stop = ~gap
-        stop[:-1] &= gap[1:] | edge[1:-1]
-        begin, end = np.flatnonzero(begin), np.flatnonzero(stop) + 1
-        word = self.part(begin, end - begin)
-        line = np.searchsorted(self.start, begin, side="right") - 1
-        sums = np.zeros((len(ids), SLOTS), np.uint8)
-        np.add.at(sums, (line, (word >> np.uint64(40)) % np.uint64(SLOTS)), (word & np.uint64(255)).astype(np.uint8) | 1)
-        return [s.tobytes() for s in sums]
+    def signatures(self) -> list[bytes]:
+        """How often pairs of neighbouring code points fall into each slot, modulo 256."""
+        pairs = anchors.mix((self.points[:-1].astype(np.uint64) << np.uint64(32)) | self.points[1:])
+        line = np.repeat(np.arange(len(self.size)), self.size)
+        inner = line[1:] == line[:-1]
+        where = line[:-1][inner] * SLOTS + ((pairs[inner] >> np.uint64(40)) % np.uint64(SLOTS)).astype(np.int64)
+        counts = np.bincount(where, minlength=len(self.size) * SLOTS)
+        return [c.tobytes() for c in counts.astype(np.uint8).reshape(-1, SLOTS)]
 
 
 def segments(size: np.ndarray, number: int) -> tuple[np.ndarray, np.ndarray]:
@@ -173,7 +166,7 @@ def line_signatures(docs: DataFrame) -> DataFrame:
             for _, _, lines in chunks(batch):
                 h, ids = distinct_lines([x for x in lines if len(x) >= SHORT])
                 if len(ids):
-                    yield pa.RecordBatch.from_arrays([signed(ids), pa.array(h.signatures(ids), pa.binary())], names=["line", "signature"])
+                    yield pa.RecordBatch.from_arrays([signed(ids), pa.array(h.signatures(), pa.binary())], names=["line", "signature"])
 
     return docs.mapInArrow(run, "line long, signature binary")
 
@@ -188,7 +181,8 @@ def candidates(members: DataFrame) -> DataFrame:
         def sift(i: np.ndarray, j: np.ndarray) -> None:
             for at in range(0, len(i), 1 << 17):
                 a, b = i[at : at + (1 << 17)], j[at : at + (1 << 17)]
-                good = (line[a] != line[b]) & ((values[a] != values[b]).sum(1) <= CHANGED)
+                apart = np.abs((values[a] - values[b]).view(np.int8).astype(np.int16)).sum(1)
+                good = (line[a] != line[b]) & (apart <= CHANGED)
                 left.append(line[a[good]])
                 right.append(line[b[good]])
 
@@ -299,6 +293,7 @@ def links_of(docs: DataFrame, first: DataFrame) -> DataFrame:
         .distinct()
     )
     shared = cut_lineage(shared)
+    release(docs.sparkSession)
     wanted = shared.select("line").distinct()
     signatures = line_signatures(docs).join(wanted, "line").groupBy("line").agg(F.first("signature").alias("signature"))
     pairs = cut_lineage(candidates(shared.join(signatures, "line")))
