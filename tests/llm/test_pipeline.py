@@ -8,7 +8,7 @@ DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 @pytest.fixture()
 def folder(spark, tmp_path):
     words = [f"word{i}" for i in range(300)]
-    texts = {i: " ".join(words[(i * 7 + j * (i + 1)) % 300] for j in range(40)) + f"\nown line {i} of the document, not shared {i * i}" for i in range(40)}
+    texts = {i: " ".join(words[(i * 7 + j * (i + 1)) % 300] for j in range(40)) + "\n" + " ".join(words[(i * 11 + j * 37) % 300] for j in range(9)) for i in range(40)}
     texts[40] = texts[3]
     texts[41] = texts[5].split("\n")[0] + "\nanother line that is only here, with words"
     texts[42] = "you moron idiot " * 5
