@@ -1,15 +1,15 @@
 """Operator 8: near-duplicate vectors of one label, by NN-descent.
 
-1. Every vector starts with neighbours that stand next to it, within its label and a random-hyperplane bucket,
-   in the order of a random projection, for several such orders.
-2. Rounds of local joins: the neighbours of a vector, in either direction, are compared with each other, and
+1. Exact copies within a label are one representative, with a count, kept by a 128-bit hash.
+2. Every representative starts with neighbours that stand next to it, within its label and a random-hyperplane
+   bucket, in the order of a random projection, for several such orders.
+3. Rounds of local joins: the neighbours of a vector, in either direction, are compared with each other, and
    each takes over those that are better than its worst. A list whose last entry is still a link is saturated
    and is enlarged. Rounds end when few lists change.
-3. The links among the lists give components. Every link lies within one, so each component is compared in full,
-   a pair of blocks at a time, counting links without writing them out. That makes the counts exact for lists
-   that stayed saturated.
-4. An audit compares a bounded sample of vectors with all rows of their labels; while it misses links, they seed
-   further rounds.
+4. The links among the lists give groups, by which each label is ordered and cut into blocks. All pairs of blocks
+   of a label are compared in full, but for those whose centres and radii rule a link out. This comparison alone
+   decides counts and components, so the result is exact whatever the lists missed; the lists only make blocks
+   tight. Where blocks are not, the work grows with the square of a label.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite numbers, and those of a null label,
 link with nothing; vectors of different sizes don't link; rows that repeat a vec_id get its first vector's result;
@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,8 +35,8 @@ LIST, LARGEST = 12, 48
 TABLES, BITS, NEXT = 5, 6, 2
 ROUNDS, SETTLED = 5, 0.01
 BLOCK = 1024
-AUDIT = 256
-GOAL = 0.999
+#: Angle by which rounding may be off.
+SLACK = 1e-6
 
 
 def vectors(df: DataFrame, row_id: str, vector: str, label: str) -> DataFrame:
@@ -164,86 +165,140 @@ def descend(edges: DataFrame, vecs: DataFrame, n: int, threshold: float) -> Data
     return lists
 
 
-def counted(vecs: DataFrame, comps: DataFrame, threshold: float) -> DataFrame:
-    """(node, n_links): links within components, each compared in full, a pair of blocks at a time."""
-    sizes = comps.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    own = comps.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    own = own.join(vecs.select("node", "vec"), "node")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = own.select("node", "vec", "component", "block", other.alias("other")).select(
-        "component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "vec"
-    )
+PLACED = "block long, label string, node long, copies long, vec binary, centre binary, radius double"
+
+
+def placed(reps: DataFrame, groups: DataFrame, n: int, size: int) -> DataFrame:
+    """reps in blocks of one label and up to `size` rows, in the order of groups; a block's first row has its centre and radius."""
+
+    def emit(block: int, rows: list[tuple]) -> pa.RecordBatch:
+        x = unit([r[3] for r in rows])
+        centre = x.sum(axis=0)
+        centre = centre / np.linalg.norm(centre) if np.linalg.norm(centre) > 0.001 * len(x) else x[0]
+        radius = float(np.arccos(np.clip(x @ centre, -1, 1)).max())
+        rest = [None] * (len(rows) - 1)
+        cols = [[block] * len(rows), *([r[i] for r in rows] for i in range(4)), [centre.astype("<f8").tobytes(), *rest], [radius, *rest]]
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.float64())
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["block", "label", "node", "copies", "vec", "centre", "radius"]
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, rows = TaskContext.get().partitionId() << 32, []
+        for batch in batches:
+            for row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if rows and (len(rows) >= size or rows[0][0] != row[0]):
+                    yield emit(block, rows)
+                    block, rows = block + 1, []
+                rows.append(row)
+        if rows:
+            yield emit(block, rows)
+
+    own = reps.join(groups, "node", "left").withColumn("group", F.coalesce("component", "node"))
+    order = ["label", "group", "node"]
+    own = own.repartitionByRange(max(1, -(-n // (4 * size))), *order).sortWithinPartitions(*order)
+    return own.select("label", "node", "copies", "vec").mapInArrow(run, PLACED)
+
+
+def block_pairs(blocks: DataFrame, threshold: float) -> DataFrame:
+    """(i, j), i <= j: blocks of a label between which links may be."""
+    reach = float(np.arccos(np.clip(threshold, -1, 1))) + SLACK
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<f8").reshape(batch.num_rows, -1) for c in (2, 3))
+                apart = np.arccos(np.clip(np.einsum("ij,ij->i", x, y), -1, 1))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["i", "j"]).filter(
+                    pa.array(apart - batch.column(4).to_numpy() <= reach)
+                )
+
+    def run_by_size(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = np.array([len(c) for c in batch.column(2).to_pylist()])
+            yield from run(batch.filter(pa.array(sizes == size)) for size in np.unique(sizes))
+
+    heads = blocks.filter(F.col("centre").isNotNull())
+    left = heads.select("label", F.col("block").alias("i"), F.col("centre").alias("a"), F.col("radius").alias("ra"))
+    right = heads.select("label", F.col("block").alias("j"), F.col("centre").alias("b"), F.col("radius").alias("rb"))
+    both = left.join(right, "label").filter("i <= j").select("i", "j", "a", "b", (F.col("ra") + F.col("rb")).alias("r"))
+    return both.mapInArrow(run_by_size, "i long, j long")
+
+
+def forest(links: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, columns) of links that connect all rows and columns which the links connect."""
+    us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    rows_open, cols_open = links.any(1), np.ones(links.shape[1], bool)
+    for root in np.flatnonzero(rows_open):
+        if not rows_open[root]:
+            continue
+        rows_open[root] = False
+        front = np.array([root])
+        while len(front):
+            new = links[front] & cols_open
+            cols = np.flatnonzero(new.any(0))
+            us.append(front[new[:, cols].argmax(0)])
+            vs.append(cols)
+            cols_open[cols] = False
+            new = links[:, cols] & rows_open[:, None]
+            front = np.flatnonzero(new.any(1))
+            if len(front):
+                us.append(front)
+                vs.append(cols[new[front].argmax(1)])
+            rows_open[front] = False
+    return np.concatenate(us), np.concatenate(vs)
+
+
+def compared(blocks: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """Rows (u, null, n): n links of u to rows of a block; and rows (u, v, 0): links that connect what all links connect."""
 
     def run(group: pa.Table) -> pa.Table:
-        block, ids = group["block"].to_numpy(), group["node"].to_numpy()
+        block, ids, copies = (group[c].to_numpy() for c in ("block", "node", "copies"))
         i, j = group["i"][0].as_py(), group["j"][0].as_py()
         x = unit(group["vec"].to_pylist())
         n = np.zeros(len(ids), np.int64)
         a, b = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        s = x[a] @ x[b].T >= threshold
+        links = x[a] @ x[b].T >= threshold
         if i == j:
-            np.fill_diagonal(s, False)
-            n[a] = s.sum(1)
+            np.fill_diagonal(links, False)
         else:
-            n[a], n[b] = s.sum(1), s.sum(0)
-        return pa.table({"node": ids, "n": n})
-
-    return dealt.groupBy("component", "i", "j").applyInArrow(run, "node long, n long").groupBy("node").agg(F.sum("n").alias("n_links"))
+            n[b] = copies[a] @ links
+        n[a] = links @ copies[b]
+        rows, cols = forest(links)
+        some = np.flatnonzero(n)
+        u, v = np.concatenate([ids[some], ids[a[rows]]]), np.concatenate([np.zeros(len(some), np.int64), ids[b[cols]]])
+        counts = np.concatenate([n[some], np.zeros(len(rows), np.int64)])
+        return pa.table({"u": u, "v": pa.array(v, mask=np.arange(len(v)) < len(some)), "n": counts})
 
+    sides = pairs.select("i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    dealt = blocks.select("block", "node", "copies", "vec").join(sides, "block")
+    return dealt.groupBy("i", "j").applyInArrow(run, "u long, v long, n long")
 
-def audit(vecs: DataFrame, threshold: float) -> DataFrame:
-    """(u, v, sim): all links of a sample of at most AUDIT vectors."""
-    sample = [(r["node"], r["label"], bytes(r["vec"])) for r in vecs.orderBy(F.xxhash64("node"), "node").limit(AUDIT).collect()]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            labels = np.array(batch.column(1).to_pylist())
-            ids, raw = batch.column(0).to_numpy(), batch.column(2).to_pylist()
-            out: list[list] = [[], [], []]
-            for label in {s[1] for s in sample}:
-                own = np.flatnonzero(labels == label)
-                asked = [s for s in sample if s[1] == label]
-                if not len(own):
-                    continue
-                s = unit([a[2] for a in asked]) @ unit([raw[i] for i in own]).T
-                for i, j in zip(*np.nonzero(s >= threshold), strict=True):
-                    if asked[i][0] != ids[own[j]]:
-                        for col, value in zip(out, (asked[i][0], ids[own[j]], s[i, j]), strict=True):
-                            col.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["u", "v", "sim"])
-
-    return vecs.select("node", "label", "vec").mapInArrow(run, "u long, v long, sim double")
-
-
-def near_vectors(df: DataFrame, row_id: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = THRESHOLD) -> DataFrame:
+def near_vectors(df: DataFrame, row_id: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row."""
-    vecs = cut_lineage(vectors(df, row_id, vector, label))
-    n = vecs.count()
-    edges = cosines(starts(vecs, 1), vecs)
-    truth = cut_lineage(audit(vecs, threshold))
-    for attempt in range(3):
-        lists = descend(edges, vecs, n, threshold)
-        linked = lists.filter(F.col("sim") >= threshold)
-        comps = cut_lineage(components(linked.select(F.col("u").alias("a"), F.col("v").alias("b"))))
-        # A link of the sample is found if its ends are in one component.
-        ends = truth.join(comps.withColumnRenamed("node", "u").withColumnRenamed("component", "cu"), "u", "left")
-        ends = ends.join(comps.withColumnRenamed("node", "v").withColumnRenamed("component", "cv"), "v", "left")
-        hit = F.coalesce(F.col("cu") == F.col("cv"), F.lit(False))
-        seen = ends.agg(F.count(F.lit(1)).alias("all"), F.count_if(hit).alias("hit")).first()
-        if seen["hit"] >= GOAL * seen["all"]:
-            break
-        more = cosines(starts(vecs, attempt + 2), vecs)
-        edges = lists.unionByName(more).unionByName(truth)
-    counts = counted(vecs, comps, threshold)
+    vecs = cut_lineage(vectors(df, row_id, vector, label).withColumn("key", F.unhex(F.md5("vec"))))
+    reps = vecs.groupBy("label", "key").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("vec").alias("vec"))
+    reps = cut_lineage(reps)
+    n = reps.count()
+    lists = descend(cosines(starts(reps, 1), reps), reps.select("node", "vec"), n, threshold)
+    linked = lists.filter(F.col("sim") >= threshold)
+    groups = components(linked.select(F.col("u").alias("a"), F.col("v").alias("b")))
+    blocks = cut_lineage(placed(reps, groups, n, block))
+    found = cut_lineage(compared(blocks, block_pairs(blocks, threshold), threshold))
+    comps = components(found.filter(F.col("v").isNotNull()).select(F.col("u").alias("a"), F.col("v").alias("b")))
+    counts = found.groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("others"))
+    results = reps.join(counts, "node", "left").join(comps, "node", "left").select(
+        "label", "key", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component")
+    )
     own = df.withColumn("_node", F.coalesce(F.col(row_id).cast("long"), F.lit(LAST_ID)))
-    out = own.join(comps.join(counts, "node").withColumnRenamed("node", "_node"), "_node", "left")
-    component = F.coalesce("component", F.when(F.col("_node") < LAST_ID, F.col("_node")))
+    out = own.join(vecs.join(results, ["label", "key"]).select(F.col("node").alias("_node"), "n_links", "component"), "_node", "left")
+    component = F.coalesce("component", "_node")
     return out.select(
         F.col(row_id).alias("vec_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        component.alias("component_id"),
-        (F.col("_node") == F.coalesce("component", "_node")).alias("kept"),
+        F.when(component < LAST_ID, component).alias("component_id"),
+        (F.col("_node") == component).alias("kept"),
     )
 
 

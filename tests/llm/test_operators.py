@@ -202,6 +202,25 @@ def test_near_vectors(spark):
     assert all(got[i]["n_links"] == 0 and got[i]["kept"] for i in range(300, 306))
 
 
+def test_near_vectors_between_tight_groups(spark):
+    """Each vector has over 48 nearer neighbours within its own group than in the other, to which it links too."""
+    rng = np.random.default_rng(11)
+    a, turn = np.eye(16)[0], np.eye(16)[1]
+    b = 0.99 * a + np.sqrt(1 - 0.99**2) * turn
+    x = np.concatenate([a + rng.standard_normal((300, 16)) * 1e-4, b + rng.standard_normal((300, 16)) * 1e-4, np.tile(b, (60, 1)), rng.standard_normal((100, 16))])
+    order = rng.permutation(len(x))
+    df = spark.createDataFrame([(i, x[k].tolist(), 1) for i, k in enumerate(order.tolist())], "vec_id long, embedding array<double>, label int")
+    y = x[order] / np.linalg.norm(x[order], axis=1, keepdims=True)
+    linked = y @ y.T >= 0.98
+    np.fill_diagonal(linked, False)
+    comp = np.arange(len(x))
+    for _ in range(len(x)):
+        comp = np.minimum(comp, np.where(linked, comp[None, :], len(x)).min(1))
+    wanted = [(i, linked[i].sum(), comp[i], comp[i] == i) for i in range(len(x))]
+    assert sorted(tuple(r) for r in nn_descent.near_vectors(df).collect()) == wanted
+    assert sorted(tuple(r) for r in nn_descent.near_vectors(df, block=128).collect()) == wanted
+
+
 def test_components(spark):
     links = spark.createDataFrame([(1, 2), (2, 3), (9, 8), (3, 30), (30, 7), (5, 5)], "a long, b long")
     assert {tuple(r) for r in graph.components(links).collect()} == {(1, 1), (2, 1), (3, 1), (30, 1), (7, 1), (8, 8), (9, 8)}
