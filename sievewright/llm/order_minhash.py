@@ -9,8 +9,10 @@ that share a band are candidates.
 1. Equal texts are one class, kept by a 128-bit hash; only classes go on.
 2. In each bucket of a band the classes are compared by their sketches, a block at a time, and each is paired
    with a hub, the member whose sketch agrees best with the bucket's commonest values, if they agree in FLOOR
-   sketches at least; a bucket never yields more than a pair a member. A second round pairs members of different
-   components with up to NEAREST of the most alike, for those that no hub joins.
+   sketches at least; this round never yields more than a pair a member and joins most copies. A second round pairs
+   members of different components with the NEAREST most alike. The last round takes all pairs of a bucket, across
+   its blocks, that agree in FLOOR sketches and that no links join yet, but for those whose numbers of shingles alone
+   keep them under the threshold; a bucket of alike texts that aren't near-duplicates yields as many pairs as it has.
 3. Pairs are verified on the whole texts: shared labelled shingles are aligned in order, within a band around the
    diagonal that any pair over the threshold keeps to; the aligned share is the similarity.
 
@@ -44,7 +46,7 @@ THRESHOLD = 0.8
 #: Equal sketches of SKETCHES that a pair needs to be verified; 15 are expected at similarity 0.8.
 FLOOR = 7
 NEAREST = 2
-#: Members of a bucket that are compared at once.
+#: Members of a bucket that are compared at once; later rounds compare two such blocks.
 BLOCK = 2048
 SEEDS = anchors.mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
 
@@ -90,7 +92,7 @@ def sketch(labelled: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """key (128-bit hash of the text), doc_id, sketch (none if the text has no words)."""
+    """key (128-bit hash of the text), doc_id, sketch (none if the text has no words), size (its shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,15 +100,19 @@ def sketches(docs: DataFrame) -> DataFrame:
             for rows, own, hashes in word_blocks(offsets, data):
                 full = np.flatnonzero(np.diff(own) > 0)
                 values: list[bytes | None] = [None] * len(rows)
+                sizes = np.zeros(len(rows), np.int64)
                 if len(full):
                     labelled, bounds = shingles(hashes, own)
+                    sizes = np.diff(bounds)
                     for i, value in zip(full.tolist(), sketch(labelled, bounds[np.append(full, len(own) - 1)]), strict=True):
                         values[i] = value.astype("<u4").tobytes()
                 part = batch.slice(int(rows[0]), len(rows))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(values, pa.binary())], names=["key", "doc_id", "sketch"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array(values, pa.binary()), pa.array(sizes, pa.int64())], names=["key", "doc_id", "sketch", "size"]
+                )
 
     keyed = docs.select(F.unhex(F.md5("data")).alias("key"), "doc_id", "data")
-    return keyed.mapInArrow(run, "key binary, doc_id long, sketch binary")
+    return keyed.mapInArrow(run, "key binary, doc_id long, sketch binary, size long")
 
 
 BANDS = SKETCHES // ROWS
@@ -120,8 +126,8 @@ def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def bucket_pairs(buckets: DataFrame, later: bool) -> DataFrame:
-    """(a, b) to verify, from rows (bucket, node, sketch[, component]) of buckets of several nodes."""
+def hub_pairs(buckets: DataFrame) -> DataFrame:
+    """(a, b) of members and hubs to verify, from rows (bucket, node, sketch) of buckets of several nodes."""
 
     def hub(values: np.ndarray) -> int:
         """The member that agrees most with each sketch's commonest value."""
@@ -131,18 +137,8 @@ def bucket_pairs(buckets: DataFrame, later: bool) -> DataFrame:
             score += count[which] == count.max()
         return int(np.argmax(score))
 
-    def pairs(nodes: np.ndarray, values: np.ndarray, comps: np.ndarray, state: dict) -> Iterator[tuple[int, int]]:
+    def pairs(nodes: np.ndarray, values: np.ndarray, state: dict) -> Iterator[tuple[int, int]]:
         """Of one block of a bucket. state: what earlier blocks of the bucket leave to later ones."""
-        if later:
-            for at in range(0, len(nodes), 512):
-                same = alike(values[at : at + 512], values)
-                same[comps[at : at + 512, None] == comps[None, :]] = 0
-                near = np.argsort(-same, axis=1, kind="stable")[:, :NEAREST]
-                for i, js in enumerate(near.tolist(), at):
-                    for j in js:
-                        if same[i - at, j] >= FLOOR:
-                            yield nodes[i], nodes[j]
-            return
         if "hub" not in state:
             i = hub(values)
             state |= {"hub": nodes[i], "value": values[i : i + 1]}
@@ -168,8 +164,7 @@ def bucket_pairs(buckets: DataFrame, later: bool) -> DataFrame:
             if len(held) > 1 or state and held:
                 nodes = np.array([h[0] for h in held], np.int64)
                 values = np.frombuffer(b"".join(h[1] for h in held), "<u4").reshape(-1, SKETCHES)
-                comps = np.array([h[2] for h in held], np.int64)
-                out.extend(pairs(nodes, values, comps, state))
+                out.extend(pairs(nodes, values, state))
             held.clear()
 
         def batch_of(rows: list) -> pa.RecordBatch:
@@ -178,13 +173,13 @@ def bucket_pairs(buckets: DataFrame, later: bool) -> DataFrame:
             )
 
         for batch in batches:
-            for bucket, node, value, comp in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for bucket, node, value in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if bucket != current:
                     flush(state)
                     current, state = bucket, {}
                 elif len(held) >= BLOCK:
                     flush(state)
-                held.append((node, value, comp))
+                held.append((node, value))
             if out:
                 yield batch_of(out)
                 out.clear()
@@ -192,10 +187,62 @@ def bucket_pairs(buckets: DataFrame, later: bool) -> DataFrame:
         if out:
             yield batch_of(out)
 
-    ordered = buckets.repartition("bucket").sortWithinPartitions("bucket", "node").select("bucket", "node", "sketch", "component")
+    ordered = buckets.repartition("bucket").sortWithinPartitions("bucket", "node").select("bucket", "node", "sketch")
     return ordered.mapInArrow(run, "a long, b long").distinct()
 
 
+def open_pairs(buckets: DataFrame, threshold: float, nearest: int | None, size: int = BLOCK) -> DataFrame:
+    """(a, b) to verify, a < b: all pairs of a bucket in different components that may reach the threshold.
+
+    With nearest, only so many of the most alike of each member in a pair of blocks. buckets: rows (bucket, node, sketch, size, component). Each pair of blocks of a bucket is compared at once.
+    """
+
+    def pairs(held: list) -> pa.RecordBatch:
+        block, i, j = np.array([h[0] for h in held]), held[0][5], held[0][6]
+        nodes, sizes, comps = (np.array([h[c] for h in held], np.int64) for c in (1, 3, 4))
+        values = np.frombuffer(b"".join(h[2] for h in held), "<u4").reshape(-1, SKETCHES)
+        a, b = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for at in range(0, len(a), 512):
+            own = a[at : at + 512]
+            good = comps[own, None] != comps[None, b]
+            # As in aligned, of which this is the first test.
+            need = threshold / (1 + threshold) * (sizes[own, None] + sizes[None, b])
+            good &= np.minimum(sizes[own, None], sizes[None, b]) >= need
+            if good.any():
+                same = np.where(good, alike(values[own], values[b]), 0)
+                if nearest is None or nearest >= len(b):
+                    x, y = np.nonzero(same >= FLOOR)
+                else:
+                    y = np.argpartition(-same, nearest, axis=1)[:, :nearest].ravel()
+                    x = np.repeat(np.arange(len(own)), nearest)
+                    x, y = x[same[x, y] >= FLOOR], y[same[x, y] >= FLOOR]
+                us.append(nodes[own[x]])
+                vs.append(nodes[b[y]])
+        u, v = np.concatenate(us), np.concatenate(vs)
+        found = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)]), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, held = None, []
+        for batch in batches:
+            for bucket, *row in zip(*(batch.column(c).to_pylist() for c in range(8)), strict=True):
+                if (bucket, *row[5:]) != current:
+                    if len(held) > 1:
+                        yield pairs(held)
+                    current, held = (bucket, *row[5:]), []
+                held.append(row)
+        if len(held) > 1:
+            yield pairs(held)
+
+    counts = buckets.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("blocks"))
+    own = buckets.join(counts, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("bucket", "block", "node", "sketch", "size", "component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    key = ["bucket", "i", "j"]
+    return dealt.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "a long, b long").distinct()
+
+
 def aligned(a: np.ndarray, b: np.ndarray, threshold: float) -> float:
     """Similarity of two sequences of distinct values: the longest common subsequence over the rest and it.
 
@@ -227,50 +274,70 @@ def aligned(a: np.ndarray, b: np.ndarray, threshold: float) -> float:
 
 
 def verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) whose aligned similarity reaches the threshold; texts: node, data."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sides = []
-            for column in (2, 3):
-                values: list[np.ndarray] = []
-                data, offsets = flat(batch.column(column))
-                for _, own, hashes in word_blocks(offsets, data):
-                    labelled, bounds = shingles(hashes, own)
-                    values += [labelled[x:y] for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
-                sides.append(values)
-            good = pa.array([aligned(x, y, threshold) >= threshold for x, y in zip(*sides, strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(good)
-
-    left = texts.select(F.col("node").alias("a"), F.col("data").alias("data_a"))
-    right = texts.select(F.col("node").alias("b"), F.col("data").alias("data_b"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "data_a", "data_b").mapInArrow(run, "a long, b long")
+    """Pairs (a, b) whose aligned similarity reaches the threshold; texts: node, data.
 
+    Pairs are dealt to tiles by hashes of both ends, so that many pairs of the same texts need each text once a tile.
+    """
 
-def near_duplicates(docs: DataFrame, row_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    def run(own: pa.Table, needed: pa.Table) -> pa.Table:
+        a, b = own["a"].to_numpy(), own["b"].to_numpy()
+        values: list[np.ndarray] = []
+        data, offsets = flat(needed["data"].combine_chunks())
+        for _, bounds, hashes in word_blocks(offsets, data):
+            labelled, bounds = shingles(hashes, bounds)
+            values += [labelled[x:y] for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
+        where = {node: k for k, node in enumerate(needed["node"].to_pylist())}
+        good = np.zeros(len(a), bool)
+        order = np.argsort(a, kind="stable")
+        heads = np.flatnonzero(np.append(True, a[order[1:]] != a[order[:-1]]))
+        for rows in np.split(order, heads[1:]):
+            x = values[where[int(a[rows[0]])]]
+            sorted_x = np.sort(x)
+            for at in range(0, len(rows), 64):
+                some = rows[at : at + 64]
+                others = [values[where[int(v)]] for v in b[some]]
+                sizes = np.array(list(map(len, others)))
+                flat_others = np.concatenate(others)
+                found = sorted_x[np.minimum(np.searchsorted(sorted_x, flat_others), len(x) - 1)] == flat_others
+                shared = np.add.reduceat(found, np.cumsum(sizes) - sizes, dtype=np.int64)
+                # The shared shingles bound the aligned ones.
+                for k in np.flatnonzero(shared >= threshold / (1 + threshold) * (len(x) + sizes)).tolist():
+                    good[some[k]] = aligned(x, others[k], threshold) >= threshold
+        return pa.table({"a": a[good], "b": b[good]})
+
+    side = max(64, int((pairs.count() / 512) ** 0.5))
+    tiled = pairs.select("a", "b", *(F.pmod(F.xxhash64(c), F.lit(side)).alias(t) for c, t in (("a", "i"), ("b", "j"))))
+    ends = tiled.select(F.col("i").alias("ti"), F.col("j").alias("tj"), F.explode(F.array("a", "b")).alias("node")).distinct()
+    needed = ends.join(texts, "node").select("ti", "tj", "node", "data")
+    return tiled.groupBy("i", "j").cogroup(needed.groupBy("ti", "tj")).applyInArrow(run, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, row_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """doc_id, class_id (the least doc_id that links reach), kept (whether it is that document)."""
     own = docs.select(
         F.coalesce(F.col(row_id).cast("long"), F.lit(LAST_ID)).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("data")
     )
     found = cut_lineage(sketches(own))
-    classes = found.groupBy("key").agg(F.min("doc_id").alias("node"), F.first("sketch").alias("sketch"))
+    classes = found.groupBy("key").agg(F.min("doc_id").alias("node"), F.first("sketch").alias("sketch"), F.first("size").alias("size"))
     bands = F.transform(
         F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.expr("sketch").substr(i * (4 * ROWS) + 1, F.lit(4 * ROWS)))
     )
     spread = classes.filter(F.col("sketch").isNotNull()).select("node", F.explode(bands).alias("bucket"))
     crowded = spread.groupBy("bucket").agg((F.min("node") < F.max("node")).alias("many")).filter("many").select("bucket")
-    members = cut_lineage(spread.join(crowded, "bucket").join(classes.select("node", "sketch"), "node").select("bucket", "node", "sketch"))
+    members = cut_lineage(spread.join(crowded, "bucket").join(classes.select("node", "sketch", "size"), "node").select("bucket", "node", "sketch", "size"))
     nodes = members.select("node").distinct()
     texts = own.join(nodes, own["doc_id"] == nodes["node"]).groupBy("node").agg(F.first("data").alias("data"))
     texts = cut_lineage(texts)
 
-    first = cut_lineage(bucket_pairs(members.withColumn("component", F.lit(0).cast("long")), later=False))
+    first = cut_lineage(hub_pairs(members))
     links = cut_lineage(verify(first, texts, threshold))
-    joined = members.join(components(links).withColumnRenamed("component", "c"), "node", "left").withColumn("component", F.coalesce("c", "node")).drop("c")
-    group = Window.partitionBy("bucket")
-    apart = joined.withColumn("open", F.min("component").over(group) < F.max("component").over(group)).filter("open").drop("open")
-    second = bucket_pairs(apart, later=True).join(first, ["a", "b"], "left_anti")
-    links = links.unionByName(verify(second, texts, threshold))
+    tried, group = first, Window.partitionBy("bucket")
+    for nearest in (NEAREST, None):
+        joined = members.join(components(links).withColumnRenamed("component", "c"), "node", "left").withColumn("component", F.coalesce("c", "node")).drop("c")
+        apart = joined.withColumn("open", F.min("component").over(group) < F.max("component").over(group)).filter("open").drop("open")
+        pairs = cut_lineage(open_pairs(apart, threshold, nearest, block).join(tried, ["a", "b"], "left_anti"))
+        links = cut_lineage(links.unionByName(verify(pairs, texts, threshold)))
+        tried = tried.unionByName(pairs)
 
     labels = components(links)
     by_key = classes.select("key", "node").join(labels, "node", "left").select("key", F.coalesce("component", "node").alias("class_id"))

@@ -130,6 +130,29 @@ def test_near_duplicates(spark):
     assert got == wanted
 
 
+def test_near_duplicates_among_alike_texts(spark):
+    """Texts of one template, 0.79 alike, and changed copies of some: many others look nearer by their sketches."""
+    rng = random.Random(12)
+    base = [f"t{k}" for k in range(300)]
+    texts = []
+    for i in range(160):
+        own = base[:266] + [f"p{i}x{k}" for k in range(34)]
+        texts.append(own)
+        if i < 80:
+            texts.append([f"c{i}x{k}" if k % 40 == 20 and k < 240 else w for k, w in enumerate(own)])
+    rng.shuffle(texts)
+    sets = [{tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in texts]
+    wanted = {i: i for i in range(len(sets))}
+    for i in range(len(sets)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8:
+                wanted[i] = wanted[j]
+    assert len(set(wanted.values())) == 160
+    docs = frame(spark, [(i, " ".join(t)) for i, t in enumerate(texts)])
+    for block in (order_minhash.BLOCK, 64):
+        assert {r["doc_id"]: r["class_id"] for r in order_minhash.near_duplicates(docs, block=block).collect()} == wanted
+
+
 def test_alignment_keeps_order():
     a = np.arange(100, dtype=np.uint64)
     assert order_minhash.aligned(a, a, 0.8) == 1
