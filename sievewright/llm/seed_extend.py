@@ -92,17 +92,17 @@ def word_runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def contexts(open_docs: DataFrame, length: int) -> DataFrame:
-    """Open anchors with the 32-bit hashes of the words to their right (from the anchor on) and left."""
+    """Open anchors with the 64-bit hashes of the words to their right (from the anchor on) and left."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, lists = batch.column(0).to_pylist(), batch.column(2)
             data, offsets = flat(batch.column(1))
             for rows, own, hashes in word_blocks(offsets, data):
-                short = (hashes >> np.uint64(32)).astype("<u4")
+                full = hashes.astype("<u8")
                 cols: list[list] = [[] for _ in range(5)]
                 for i, row in enumerate(rows.tolist()):
-                    here = short[own[i] : own[i + 1]]
+                    here = full[own[i] : own[i + 1]]
                     found = lists[row].values
                     for anchor, place in zip(found.field(0).to_pylist(), found.field(1).to_pylist(), strict=True):
                         at, low, high = place >> 16, (place >> 8) & 255, place & 255
@@ -118,15 +118,15 @@ def contexts(open_docs: DataFrame, length: int) -> DataFrame:
 
 
 def matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
-    """32-bit numbers of each value, zeros after the last."""
-    return np.frombuffer(b"".join(x.ljust(4 * width, b"\0") for x in column.to_pylist()), "<u4").reshape(-1, width)
+    """64-bit numbers of each value, zeros after the last."""
+    return np.frombuffer(b"".join(x.ljust(8 * width, b"\0") for x in column.to_pylist()), "<u8").reshape(-1, width)
 
 
 def extended(seeds: DataFrame, length: int, gram: int, parts: int) -> DataFrame:
     """(doc_id, first, last): windows that also start in a smaller document."""
 
     def run(group: pa.Table) -> pa.Table:
-        right, left = matrix(group["right"], length), matrix(group["left"], length - gram).astype(np.uint64)
+        right, left = matrix(group["right"], length), matrix(group["left"], length - gram)
         doc, place = group["doc_id"].to_numpy(), group["place"].to_numpy()
         low, high = (place >> 8) & 255, place & 255
         # Hashes of the anchor and ever more words to its right, for the lengths that windows can need.

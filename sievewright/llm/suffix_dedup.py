@@ -6,7 +6,7 @@ id, or in the same document further ahead. Strings are judged on the input.
 1. Every window of `length` bytes has an anchor (see anchors). Windows of one anchor in one place form a
    run; a run is known by the hashes of its anchor and of its whole content. Of equal runs only the
    earliest can stay, so all others are settled at once, first within a block of text and then by one
-   exchange of 20-odd bytes for about every 40 bytes of text. An anchor that is met in one content only
+   exchange of some 30 bytes for about every 40 bytes of text. An anchor that is met in one content only
    needs no more work.
 2. For the rest, the suffix of the text at the anchor is taken, with what stands before it. Each task
    sorts its suffixes into a run by (anchor hash, suffix), front-codes it, and cuts it at fixed points
@@ -88,7 +88,7 @@ def collapse(anchor: np.ndarray, span: np.ndarray, doc: np.ndarray, place: np.nd
     return out
 
 
-RUNS = "anchor long, span int, doc_id long, place long, settled boolean"
+RUNS = "anchor long, span long, doc_id long, place long, settled boolean"
 
 
 def run_batch(anchor, span, doc, place, whole_doc=False) -> pa.RecordBatch:
@@ -96,7 +96,7 @@ def run_batch(anchor, span, doc, place, whole_doc=False) -> pa.RecordBatch:
     # Settled runs only travel along; a key of their own keeps them from crowding one task.
     anchor = np.where(settled, anchors.mix(doc.astype(np.uint64) ^ (place.astype(np.uint64) << np.uint64(20))), anchor)
     return pa.RecordBatch.from_arrays(
-        [pa.array(anchor.view(np.int64)), pa.array((span >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(doc), pa.array(place), pa.array(settled)],
+        [pa.array(anchor.view(np.int64)), pa.array(span.view(np.int64)), pa.array(doc), pa.array(place), pa.array(settled)],
         names=["anchor", "span", "doc_id", "place", "settled"],
     )
 

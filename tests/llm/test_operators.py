@@ -97,6 +97,15 @@ def test_repeated_rows_count_once(spark):
     assert Counter(got) == Counter({(1, len(text)): 2, (2, 0): 1, (None, 0): 1})
 
 
+def test_runs_keep_whole_content_hashes(spark):
+    """Contents of one anchor whose hashes differ in the low 32 bits only stay apart."""
+    span = np.array([(5 << 32) + 1, (5 << 32) + 2], np.uint64)
+    batch = suffix_dedup.run_batch(np.array([9, 9], np.uint64), span, np.array([1, 2]), np.array([1 << 16, 1 << 16]))
+    runs = spark.createDataFrame(batch.to_pylist(), suffix_dedup.RUNS)
+    got = {r["doc_id"]: (r["places"], len(r["open"])) for r in suffix_dedup.settle_runs(runs).collect()}
+    assert got == {1: ([], 1), 2: ([], 1)}
+
+
 def test_merge_is_a_merge():
     rng = random.Random(5)
     runs = [sorted(bytes(rng.choices(b"ab", k=rng.randint(0, 9))) for _ in range(rng.randint(0, 30))) for _ in range(7)]
