@@ -2,21 +2,27 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Stands for a null id.
+LAST_ID = 2**63 - 1
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; only where that is unset (tests, one machine) a temporary one."""
+    """The folder that spark.checkpoint.dir names; where that is unset, on one machine only, a temporary one."""
     folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    return folder or tempfile.mkdtemp(prefix="checkpoints-")
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="checkpoints-")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -27,15 +33,28 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets go of what only dropped frames refer to: Spark removes their shuffle files when the driver collects garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def identified(docs: DataFrame, row_id: str, *columns: Column) -> DataFrame:
+    """doc_id (null: the largest), copy (a hash of the text, which tells apart texts of one id), and columns, of which
+    the first is the text, without nulls."""
+    own = docs.select(F.coalesce(F.col(row_id).cast("long"), F.lit(LAST_ID)).alias("doc_id"), *columns)
+    text = own.columns[1]
+    return own.select("doc_id", F.xxhash64(text).alias("copy"), *own.columns[1:])
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def with_node(docs: DataFrame) -> DataFrame:
+    """Adds node to rows of identified(): a number that tells documents apart and rises with doc_id, then copy."""
+    several = docs.groupBy("doc_id").agg((F.min("copy") < F.max("copy")).alias("several")).filter("several")
+    if several.isEmpty():  # ids alone tell them apart
+        return docs.withColumn("node", F.col("doc_id"))
+    nodes = cut_lineage(numbered(docs.select("doc_id", "copy").distinct(), "doc_id", "copy"))
+    return docs.join(nodes, ["doc_id", "copy"])
+
 
+def numbered(df: DataFrame, *order: str) -> DataFrame:
+    """Adds node, a number that rises with the order; its lineage is to be cut before the numbers are used twice."""
+    many = partitions(df.sparkSession)
+    return df.repartitionByRange(many, *order).sortWithinPartitions(*order).withColumn("node", F.monotonically_increasing_id())
 
-def text_or_empty(name: str = "text"):
-    return F.coalesce(F.col(name), F.lit(""))
+
+def partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
