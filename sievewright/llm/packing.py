@@ -7,8 +7,9 @@ fewest windows that could hold its pieces; differencing merges the two partial p
 spread, putting the fullest bins of one on the emptiest of the other, until one is left. Where its
 fullest window exceeds the capacity the number of windows rises and the group is packed again.
 
-Defined cases: null text is empty text, which still has its closing id; equal rows are packed each;
-an empty table gives no rows.
+Defined cases: null text is empty text, which still has its closing id; equal rows are packed each, and so are rows
+of a null or repeated doc_id; a text of any length is cut and spread over groups; of other columns none is read, so
+their names may clash with any; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,11 +29,13 @@ CAPACITY = 2048
 GRAIN = 512
 WINDOWS = 128
 END_ID = 1
-#: Distinct chunks that a Python worker remembers the ids of; beyond it the memory starts anew.
-MEMO = 1_000_000
+#: Distinct words that a Python worker remembers the ids of; beyond it the memory starts anew.
+MEMO = 400_000
+#: Bytes of text that are encoded together.
+PORTION = 1 << 23
 #: Letters whose lower case and composition are the same for each character alone, so that chunks
 #: between white space can be encoded apart from each other.
-PLAIN = r"[\t-\r -~¡-įĲ-ňŊ-ž‐-‧‰-⁞]*"
+PLAIN = r"\A[\t-\r -~¡-įĲ-ňŊ-ž‐-‧‰-⁞]*\z"
 
 
 def differencing(sizes: list[int], bins: int) -> list[list[int]]:
@@ -71,25 +74,23 @@ def pack_group(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:
         bins += 1
 
 
-def word_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
-    """Ids of whole texts as little-endian unsigned 32-bit numbers, special tokens not added.
+def word_encoder(path: str) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
+    """A function from texts to their ids, one text after another, and where each begins; special tokens not added.
 
-    Texts of plain letters are encoded chunk by chunk with a memory of the chunks seen; all others go
-    to the tokenizer whole. The two agree because the tokenizer drops white space and never merges
-    across it.
+    Texts of plain letters are encoded by their distinct chunks between white space, and these by their distinct
+    words, of which those seen are remembered; all others go to the tokenizer whole. The two agree because the
+    tokenizer drops white space and never merges across a word's end.
     """
     import json
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the threads
-    import regex
     from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
     whole = Tokenizer.from_file(path)
     with open(path) as file:
         spec = json.load(file)
     pattern = next(x["pattern"]["Regex"] for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
-    words, plain = regex.compile(pattern), regex.compile(PLAIN)
     # The same model on words that are split already, one a line.
     model = Tokenizer.from_file(path)
     model.normalizer = normalizers.Sequence([])
@@ -98,44 +99,97 @@ def word_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     suffix = spec["model"]["end_of_word_suffix"]
     last = np.zeros(max(spec["model"]["vocab"].values()) + 1, bool)
     last[[i for token, i in spec["model"]["vocab"].items() if token.endswith(suffix)]] = True
-    memo: dict[str, bytes] = {}
-    pieces: dict[str, bytes] = {}
+    words = Memory()
 
     def learn(fresh: list[str]) -> None:
-        split = list(map(words.findall, fresh))
-        new = list({p for ps in split for p in ps} - pieces.keys())
-        parts = [new[at : at + 512] for at in range(0, len(new), 512)]
-        joined = ["\n".join(part) for part in parts]
-        for part, encoding in zip(parts, model.encode_batch_fast(joined, add_special_tokens=False), strict=True):
-            found = np.array(encoding.ids, "<u4")
-            raw, ends = found.tobytes(), (np.flatnonzero(last[found]) + 1) * 4
-            for piece, a, b in zip(part, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
-                pieces[piece] = raw[a:b]
-        for chunk, ps in zip(fresh, split, strict=True):
-            memo[chunk] = pieces[ps[0]] if len(ps) == 1 else b"".join([pieces[p] for p in ps])
-
-    def encode(texts: list[str]) -> list[bytes]:
-        chunks = [t.lower().split() if plain.fullmatch(t) else None for t in texts]
-        seen = set().union(*(c for c in chunks if c is not None))
-        new = seen - memo.keys()
-        if len(memo) + len(new) > MEMO:
-            memo.clear()
-            pieces.clear()
-            new = seen
-        learn(list(new))
-        return [
-            np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-            if own is None
-            else b"".join(map(memo.__getitem__, own))
-            for text, own in zip(texts, chunks, strict=True)
-        ]
+        parts = ["\n".join(fresh[at : at + 512]) for at in range(0, len(fresh), 512)]
+        found = [np.array(e.ids, np.uint32) for e in model.encode_batch_fast(parts, add_special_tokens=False)]
+        ids = np.concatenate([np.zeros(0, np.uint32), *found])
+        words.add(fresh, ids, np.flatnonzero(last[ids]) + 1)
+
+    def chunk_ids(seen: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks, one chunk after another, and where each begins."""
+        split = pc.ascii_split_whitespace(pc.replace_substring_regex(seen, f"({pattern})", r"\1 "))
+        coded = pc.list_flatten(split).dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        if len(words.at) + len(names) > MEMO:
+            words.clear()
+        learn([w for w in names if w and w not in words.at])
+        ids, ends = words.gather(words.find(names)[coded.indices.to_numpy()])
+        return ids, np.append(0, ends)[np.append(0, np.cumsum(pc.list_value_length(split).to_numpy()))]
+
+    def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        plain = pc.match_substring_regex(texts, PLAIN)
+        odd = np.flatnonzero(~plain.to_numpy(zero_copy_only=False))
+        split = pc.ascii_split_whitespace(pc.utf8_lower(pc.if_else(plain, texts, "")))
+        coded = pc.list_flatten(split).dictionary_encode()
+        own, bounds = chunk_ids(coded.dictionary)
+        which = coded.indices.to_numpy()
+        ids, ends = gather(own, bounds, which)
+        heads = np.append(0, np.append(0, ends)[np.cumsum(pc.list_value_length(split).to_numpy())])
+        if len(odd):
+            lists = [ids[a:b] for a, b in zip(heads[:-1], heads[1:], strict=True)]
+            found = whole.encode_batch_fast(texts.take(pa.array(odd)).to_pylist(), add_special_tokens=False)
+            for i, encoding in zip(odd.tolist(), found, strict=True):
+                lists[i] = np.array(encoding.ids, np.uint32)
+            ids, heads = np.concatenate(lists), np.append(0, np.cumsum(list(map(len, lists))))
+        return ids, heads
 
     return encode
 
 
+def gather(flat: np.ndarray, bounds: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Entries of flat, one after another (none for -1), and where each ends."""
+    sizes = np.where(which < 0, 0, bounds[which + 1] - bounds[which])
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    return flat[np.arange(total) + np.repeat(bounds[which] - ends + sizes, sizes)], ends
+
+
+class Memory:
+    """Ids of strings, kept side by side."""
+
+    def __init__(self) -> None:
+        self.at: dict[str, int] = {}
+        self.flat = np.zeros(1 << 16, np.uint32)
+        self.bounds = np.zeros(1 << 14, np.int64)
+
+    def clear(self) -> None:
+        self.at.clear()
+
+    def add(self, fresh: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        n, used = len(self.at), int(self.bounds[len(self.at)])
+        while n + len(fresh) >= len(self.bounds):
+            self.bounds = np.append(self.bounds, np.zeros_like(self.bounds))
+        while used + len(ids) > len(self.flat):
+            self.flat = np.append(self.flat, np.zeros_like(self.flat))
+        self.flat[used : used + len(ids)] = ids
+        self.bounds[n + 1 : n + 1 + len(fresh)] = used + ends
+        self.at.update(zip(fresh, range(n, n + len(fresh)), strict=True))
+
+    def find(self, names: list[str]) -> np.ndarray:
+        """Where the names are; -1 for the empty one."""
+        return np.fromiter((self.at.get(x, -1) for x in names), np.int64, len(names))
+
+    def gather(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of entries, one entry after another, and where each ends."""
+        return gather(self.flat, self.bounds, which)
+
+
 _ENCODERS: dict[str, Callable] = {}
 
 
+def portions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows of a batch (id, text) of about PORTION bytes of text together; a longer text alone."""
+    sizes = np.cumsum(pc.binary_length(batch.column(1).fill_null("")).to_numpy().astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        done = sizes[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(sizes, done + PORTION, side="right")))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def cuts(n: int, capacity: int, grain: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of a document of n ids."""
     out = [(s, capacity) for s in range(0, n - capacity + 1, capacity)]
@@ -157,12 +211,12 @@ def pieces(
             _ENCODERS[path] = word_encoder(path)
         encode, end = _ENCODERS[path], np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for part in portions(batch):
                 cols: list[list] = [[], [], [], [], [], []]
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                for doc, ids in zip(part.column(0).to_pylist(), encode(texts), strict=True):
-                    ids += end
+                found, heads = encode(part.column(1).fill_null(""))
+                raw = found.astype("<u4").tobytes()
+                for doc, head, stop in zip(part.column(0).to_pylist(), heads[:-1].tolist(), heads[1:].tolist(), strict=True):
+                    ids = raw[4 * head : 4 * stop] + end
                     n = len(ids) // 4
                     for start, length in cuts(n, capacity, grain):
                         own = ids[4 * start : 4 * (start + length)]
@@ -183,14 +237,14 @@ def pack(found: DataFrame, capacity: int = CAPACITY, windows: int = WINDOWS, gro
     if groups is None:
         total = found.agg(F.sum("length")).first()[0] or 0
         groups = max(1, round(total / (capacity * windows)))
-    dealt = found.withColumn("_group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)))
-    names = found.columns
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["doc_id", "start", "ids_crc32"], kind="stable", ignore_index=True)
-        sizes = group["length"].tolist()
-        base = int(group["_group"].iat[0]) << 24
-        window, offset = np.zeros(len(sizes), "int64"), np.zeros(len(sizes), "int64")
+    names = [c for c in found.columns if c not in ("sequence_id", "offset", "packing_group")]
+    dealt = found.select(*names).withColumn("packing_group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)))
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by([(c, "ascending") for c in ("doc_id", "start", "ids_crc32")])
+        sizes = group["length"].to_pylist()
+        base = group["packing_group"][0].as_py() << 24
+        window, offset = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
         small = [i for i, x in enumerate(sizes) if x < capacity]
         full = [[i] for i, x in enumerate(sizes) if x >= capacity]
         packed = pack_group([sizes[i] for i in small], capacity) if small else []
@@ -199,10 +253,10 @@ def pack(found: DataFrame, capacity: int = CAPACITY, windows: int = WINDOWS, gro
             for i in own:
                 window[i], offset[i] = base + w, at
                 at += sizes[i]
-        return group[names].assign(sequence_id=window, offset=offset)
+        return group.select(names).append_column("sequence_id", pa.array(window)).append_column("offset", pa.array(offset))
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema)
-    return dealt.groupBy("_group").applyInPandas(run, f"{fields}, sequence_id long, offset long")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.select(*names).schema)
+    return dealt.groupBy("packing_group").applyInArrow(run, f"{fields}, sequence_id long, offset long")
 
 
 def op10_karmarkar_karp(spark, sf_dir: str) -> DataFrame:
