@@ -12,8 +12,9 @@
    tight. Where blocks are not, the work grows with the square of a label.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite numbers, and those of a null label,
-link with nothing; vectors of different sizes don't link; rows that repeat a vec_id get its first vector's result;
-a null vec_id counts as the largest; an empty table gives no rows.
+link with nothing; vectors of different sizes don't link; rows that repeat a vec_id with its vector are one vector, and
+of an id (or null) with several each is a vector; a null vec_id counts as the largest, and a component of such alone has
+a null id; only the named columns are read, so others may have any names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,9 +27,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut_lineage
+from .common import LAST_ID, cut_lineage, numbered
 from .graph import components
-from .suffix_dedup import LAST_ID
 
 THRESHOLD = 0.98
 LIST, LARGEST = 12, 48
@@ -40,20 +40,20 @@ SLACK = 1e-6
 
 
 def vectors(df: DataFrame, row_id: str, vector: str, label: str) -> DataFrame:
-    """node, label, vec (doubles as binary) of what can link."""
+    """id, label and vec (doubles as binary) of every row; both null where it can't link."""
     own = df.select(
-        F.coalesce(F.col(row_id).cast("long"), F.lit(LAST_ID)).alias("node"), F.col(label).cast("string").alias("label"), F.col(vector).cast("array<double>").alias("v")
-    ).filter(F.col("label").isNotNull() & F.col("v").isNotNull())
+        F.coalesce(F.col(row_id).cast("long"), F.lit(LAST_ID)).alias("id"), F.col(label).cast("string").alias("label"), F.col(vector).cast("array<double>").alias("v")
+    )
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    own = own.filter(F.coalesce(fine, F.lit(False))).withColumn("label", F.concat_ws(":", F.size("v").cast("string"), "label"))
+    fine = F.coalesce(fine & F.col("label").isNotNull(), F.lit(False))
+    own = own.select("id", F.when(fine, F.concat_ws(":", F.size("v").cast("string"), "label")).alias("label"), F.when(fine, F.col("v")).alias("v"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = batch.column(2)
-            out = [np.asarray(v.values, "<f8").tobytes() for v in values]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["node", "label", "vec"])
+            out = [np.asarray(v.values, "<f8").tobytes() if v.is_valid else None for v in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["id", "label", "vec"])
 
-    return own.mapInArrow(run, "node long, label string, vec binary").groupBy("node").agg(F.min(F.struct("label", "vec")).alias("s")).select("node", "s.label", "s.vec")
+    return own.mapInArrow(run, "id long, label string, vec binary")
 
 
 def unit(values: list[bytes]) -> np.ndarray:
@@ -278,8 +278,9 @@ def compared(blocks: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame
 def near_vectors(df: DataFrame, row_id: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row."""
     vecs = cut_lineage(vectors(df, row_id, vector, label).withColumn("key", F.unhex(F.md5("vec"))))
-    reps = vecs.groupBy("label", "key").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("vec").alias("vec"))
-    reps = cut_lineage(reps)
+    each = vecs.filter(F.col("key").isNotNull()).groupBy("label", "key", "id").agg(F.first("vec").alias("vec"))
+    reps = each.groupBy("label", "key").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("vec").alias("vec"))
+    reps = cut_lineage(numbered(reps, "id", "label", "key"))
     n = reps.count()
     lists = descend(cosines(starts(reps, 1), reps), reps.select("node", "vec"), n, threshold)
     linked = lists.filter(F.col("sim") >= threshold)
@@ -291,14 +292,14 @@ def near_vectors(df: DataFrame, row_id: str = "vec_id", vector: str = "embedding
     results = reps.join(counts, "node", "left").join(comps, "node", "left").select(
         "label", "key", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component")
     )
-    own = df.withColumn("_node", F.coalesce(F.col(row_id).cast("long"), F.lit(LAST_ID)))
-    out = own.join(vecs.join(results, ["label", "key"]).select(F.col("node").alias("_node"), "n_links", "component"), "_node", "left")
-    component = F.coalesce("component", "_node")
+    roots = reps.select(F.col("node").alias("component"), F.col("id").alias("root"))
+    out = vecs.select("id", "label", "key").join(results.join(roots, "component"), ["label", "key"], "left")
+    component = F.coalesce("root", "id")
     return out.select(
-        F.col(row_id).alias("vec_id"),
+        F.when(F.col("id") < LAST_ID, F.col("id")).alias("vec_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.when(component < LAST_ID, component).alias("component_id"),
-        (F.col("_node") == component).alias("kept"),
+        (F.col("id") == component).alias("kept"),
     )
 
 

@@ -13,9 +13,11 @@ of smaller id. Windows are judged on the input.
    the extension of all pairs both ways, up to the first difference, in time linear in the documents.
 3. Overlapping windows join to maximal repeats.
 
-Defined cases: null text has no words; texts under `length` words lose nothing; a sequence that repeats in
-one document alone stays; rows that repeat a doc_id with its text get the same result; a null doc_id counts
-as the largest; an empty table gives no rows.
+Defined cases: null text has no words; texts under `length` words lose nothing, and texts of any length are worked on
+in blocks that overlap; a sequence that repeats in one document alone stays; rows that repeat a doc_id with its text get
+the same result; of an id (or null) with several texts each text is a document, in the order of their hashes; a null
+doc_id counts as the largest; only the named columns are read, so others may have any names; an empty table gives no
+rows.
 """
 
 from __future__ import annotations
@@ -28,8 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import anchors
-from .common import cut_lineage, partitions
-from .suffix_dedup import LAST_ID, MERGE, RUNS, blocks, flat, pack_place, run_batch, settle_runs, window_ranges
+from .common import LAST_ID, cut_lineage, identified, partitions, with_node
+from .suffix_dedup import MERGE, RUNS, blocks, flat, pack_place, run_batch, settle_runs, window_ranges
 
 LENGTH = 50
 GRAM = 8
@@ -148,6 +150,8 @@ def extended(seeds: DataFrame, length: int, gram: int, parts: int) -> DataFrame:
 
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """doc_id, places (settled runs) and found (ranges of window starts)."""
+    if not gram <= length <= gram + 255:
+        raise ValueError("length must be from gram to gram + 255")
     marks = cut_lineage(settle_runs(word_runs(docs, length, gram), whole_doc=True))
     n = marks.agg(F.sum(F.size("open"))).first()[0] or 0
     parts = max(partitions(docs.sparkSession), -(-n // (MERGE // 4)))
@@ -181,15 +185,13 @@ def strip(docs: DataFrame, marks: DataFrame, length: int) -> DataFrame:
                 names=["doc_id", "n_words", "spans", "kept"],
             )
 
-    joined = docs.join(marks, "doc_id", "left").select("doc_id", "data", "places", "found")
+    joined = docs.join(marks, "doc_id", "left").select("own_id", "data", "places", "found")
     return joined.mapInArrow(run, "doc_id long, n_words long, spans array<struct<start:long,stop:long>>, kept binary")
 
 
 def dedup(docs: DataFrame, row_id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
-    own = docs.select(
-        F.coalesce(F.col(row_id).cast("long"), F.lit(LAST_ID)).alias("doc_id"),
-        F.coalesce(F.col(text), F.lit("")).cast("binary").alias("data"),
-    )
+    own = with_node(identified(docs, row_id, F.coalesce(F.col(text), F.lit("")).cast("binary").alias("data")))
+    own = own.select(F.col("node").alias("doc_id"), "data", F.col("doc_id").alias("own_id"))
     out = strip(own, repeats(own, length), length)
     return out.withColumn("doc_id", F.when(F.col("doc_id") < LAST_ID, F.col("doc_id")))
 

@@ -16,9 +16,10 @@ id, or in the same document further ahead. Strings are judged on the input.
    where those prefixes differ. The merge yields the prefix length between neighbours, from which the
    windows that stand earlier elsewhere are found offset by offset, with no pairs of suffixes.
 
-Defined cases: null text is empty; texts under `length` bytes lose nothing; rows that repeat a doc_id
-with its text are the same document given again and get the same result; a null doc_id counts as the
-largest; an empty table gives no rows.
+Defined cases: null text is empty; texts under `length` bytes lose nothing, and texts of any length are worked on in
+blocks that overlap; rows that repeat a doc_id with its text are the same document given again and get the same result;
+of an id (or null) with several texts each text is a document, in the order of their hashes; a null doc_id counts as
+the largest; only the named columns are read, so others may have any names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import anchors
-from .common import cut_lineage, partitions
+from .common import LAST_ID, cut_lineage, identified, partitions, with_node
 
 LENGTH = 100
 GRAM = 24
@@ -39,7 +40,6 @@ GRAM = 24
 MERGE = 200_000
 #: Suffixes of one sorted run.
 RUN = 100_000
-LAST_ID = 2**63 - 1
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -304,8 +304,10 @@ def merged(runs: DataFrame, length: int, gram: int) -> DataFrame:
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """doc_id, places (settled runs) and found (ranges of window starts): what also starts earlier.
 
-    docs: doc_id long without nulls, data binary without nulls.
+    docs: doc_id long without nulls, one for each document, and data binary without nulls.
     """
+    if not gram <= length <= gram + 255:
+        raise ValueError("length must be from gram to gram + 255")
     marks = cut_lineage(settle_runs(byte_runs(docs, length, gram)))
     n = marks.agg(F.sum(F.size("open"))).first()[0] or 0
     parts = max(partitions(docs.sparkSession), -(-n // MERGE))
@@ -351,15 +353,13 @@ def strip(docs: DataFrame, marks: DataFrame, length: int) -> DataFrame:
                 names=["doc_id", "n_bytes", "spans", "kept"],
             )
 
-    joined = docs.join(marks, "doc_id", "left").select("doc_id", "data", "places", "found")
+    joined = docs.join(marks, "doc_id", "left").select("own_id", "data", "places", "found")
     return joined.mapInArrow(run, "doc_id long, n_bytes long, spans array<struct<start:long,stop:long>>, kept binary")
 
 
 def dedup(docs: DataFrame, row_id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
-    own = docs.select(
-        F.coalesce(F.col(row_id).cast("long"), F.lit(LAST_ID)).alias("doc_id"),
-        F.coalesce(F.col(text), F.lit("")).cast("binary").alias("data"),
-    )
+    own = with_node(identified(docs, row_id, F.coalesce(F.col(text), F.lit("")).cast("binary").alias("data")))
+    own = own.select(F.col("node").alias("doc_id"), "data", F.col("doc_id").alias("own_id"))
     out = strip(own, repeats(own, length), length)
     return out.withColumn("doc_id", F.when(F.col("doc_id") < LAST_ID, F.col("doc_id")))
 
