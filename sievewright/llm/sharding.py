@@ -10,8 +10,9 @@ bounded expected size; only bucket counts (a table whose size is set by paramete
 strata) are summed up to turn positions within a bucket into global ones.
 
 Defined cases: a null stratum is a stratum of its own; a null text has size 8 and the CRC of no
-bytes; equal rows are ranked one after another (any order among them gives the same result up to
-their exchange); an empty table gives no rows.
+bytes; rows of a null or repeated id are ranked one after another, by a hash of all their columns (any order
+among equal rows gives the same result up to their exchange); texts of any length count as one row; other
+columns pass through, but for `shard` and `slot`, which are replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -41,45 +42,46 @@ def interleave(
     slices: int = SLICES,
 ) -> DataFrame:
     """Adds `shard` int and `slot` long (gapless from 0 within a shard) to the rows of df."""
-    rows = df.withColumns(
+    rows = df.drop("shard", "slot").withColumns(
         {
-            "_key": shuffle_key(F.col(row_id), seed),
-            "_stratum": F.coalesce(F.concat(F.lit("="), F.col(stratum).cast("string")), F.lit("")),
+            "_il_key": shuffle_key(F.col(row_id), seed),
+            "_il_tie": F.xxhash64(*[f.name for f in df.drop("shard", "slot").schema if "map<" not in f.dataType.simpleString()]),
+            "_il_stratum": F.coalesce(F.concat(F.lit("="), F.col(stratum).cast("string")), F.lit("")),
         }
-    ).withColumn("_bucket", F.substring("_key", 1, prefix))
-    counts = rows.groupBy("_stratum", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    upto = Window.partitionBy("_stratum").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    ).withColumn("_il_bucket", F.substring("_il_key", 1, prefix))
+    counts = rows.groupBy("_il_stratum", "_il_bucket").agg(F.count(F.lit(1)).alias("_il_n"))
+    upto = Window.partitionBy("_il_stratum").orderBy("_il_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.withColumns(
         {
-            "_before": F.coalesce(F.sum("_n").over(upto), F.lit(0)),
-            "_total": F.sum("_n").over(Window.partitionBy("_stratum")),
+            "_il_before": F.coalesce(F.sum("_il_n").over(upto), F.lit(0)),
+            "_il_total": F.sum("_il_n").over(Window.partitionBy("_il_stratum")),
         }
-    ).drop("_n")
-    within = Window.partitionBy("_stratum", "_bucket").orderBy("_key", row_id)
-    ranked = rows.withColumn("_r", F.row_number().over(within)).join(starts, ["_stratum", "_bucket"])
+    ).drop("_il_n")
+    within = Window.partitionBy("_il_stratum", "_il_bucket").orderBy("_il_key", row_id, "_il_tie")
+    ranked = rows.withColumn("_il_r", F.row_number().over(within)).join(starts, ["_il_stratum", "_il_bucket"])
     # 2r - 1 over 2n as an exact order: equal doubles fall back on the shuffle key.
     ranked = ranked.withColumn(
-        "_share", (2 * (F.col("_before") + F.col("_r")) - 1).cast("double") / (2 * F.col("_total")).cast("double")
-    ).withColumn("_slice", F.floor(F.col("_share") * slices).cast("int"))
-    sizes = ranked.groupBy("_slice").agg(F.count(F.lit(1)).alias("_n"))
+        "_il_share", (2 * (F.col("_il_before") + F.col("_il_r")) - 1).cast("double") / (2 * F.col("_il_total")).cast("double")
+    ).withColumn("_il_slice", F.floor(F.col("_il_share") * slices).cast("int"))
+    sizes = ranked.groupBy("_il_slice").agg(F.count(F.lit(1)).alias("_il_n"))
     # One row for each slice: the number of slices is a parameter, so this window stays small.
-    ahead = Window.partitionBy(F.lit(0)).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.partitionBy(F.lit(0)).orderBy("_il_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
-        "_slice",
-        F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_offset"),
-        F.sum("_n").over(Window.partitionBy(F.lit(0))).alias("_rows"),
+        "_il_slice",
+        F.coalesce(F.sum("_il_n").over(ahead), F.lit(0)).alias("_il_offset"),
+        F.sum("_il_n").over(Window.partitionBy(F.lit(0))).alias("_il_rows"),
     )
-    order = Window.partitionBy("_slice").orderBy("_share", "_key", row_id)
+    order = Window.partitionBy("_il_slice").orderBy("_il_share", "_il_key", row_id, "_il_tie")
     placed = (
-        ranked.withColumn("_at", F.row_number().over(order) - 1)
-        .join(F.broadcast(offsets), "_slice")  # at most `slices` + 1 rows
-        .withColumn("_at", F.col("_at") + F.col("_offset"))
+        ranked.withColumn("_il_at", F.row_number().over(order) - 1)
+        .join(F.broadcast(offsets), "_il_slice")  # at most `slices` + 1 rows
+        .withColumn("_il_at", F.col("_il_at") + F.col("_il_offset"))
     )
     # Shard s holds the positions from ceil(s * rows / shards) on.
-    first = F.expr(f"(shard * _rows + {shards - 1}) div {shards}")
-    placed = placed.withColumn("shard", F.expr(f"cast((_at * {shards}) div _rows as int)"))
-    return placed.withColumn("slot", F.col("_at") - first).drop(
-        "_key", "_stratum", "_bucket", "_before", "_total", "_r", "_share", "_slice", "_offset", "_rows", "_at"
+    first = F.expr(f"(shard * _il_rows + {shards - 1}) div {shards}")
+    placed = placed.withColumn("shard", F.expr(f"cast((_il_at * {shards}) div _il_rows as int)"))
+    return placed.withColumn("slot", F.col("_il_at") - first).drop(
+        "_il_key", "_il_tie", "_il_stratum", "_il_bucket", "_il_before", "_il_total", "_il_r", "_il_share", "_il_slice", "_il_offset", "_il_rows", "_il_at"
     )
 
 

@@ -3,15 +3,18 @@
 1. A character trigram model is counted over all documents.
 2. Words that look disguised (digits or signs among letters, letters drawn out, letters set apart) become
    lattices: each sign may stand for itself or for letters it is used for, a star for any letter, a letter
-   drawn out for one or two of it, and what sets letters apart for nothing. Viterbi decoding finds the most
-   likely plain word under the trigram model and the costs of the channel.
+   drawn out for one or two of it, a sign drawn out for up to three letters, and what sets letters apart for nothing.
+   Viterbi decoding, over all states, finds the most likely plain word under the trigram model and the costs of the
+   channel.
 3. The restored text is scored by a logistic model on which words, and beginnings of words, it has. It is
    fitted on at most SAMPLE labelled rows of each label, chosen by a hash of their ids; everything else
    covers all documents.
 
 Defined cases: null and empty text have the score of a text without known words; labels that are null are
-left out, of several labels of a document the highest counts; without any labelled rows of both kinds every
-score is 0; rows that repeat are each scored; an empty table gives no rows.
+left out, of several labels of a document the highest counts, of several texts of an id the first in order is learnt
+from; without any labelled rows of both kinds every score is 0; rows that repeat, or have a null id, are each scored;
+texts of any length are scored whole; other columns pass through, but for `score`, which is replaced; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -43,7 +46,6 @@ APART = re.compile(r"(?<![^\W_])(?:[^\W_]|[@$!|+*])(?:[ ._\-/]{1,2}(?:[^\W_]|[@$
 DRAWN = re.compile(r"([^\W\d_])\1\1")
 #: Costs of the channel, in nats.
 SUBSTITUTE, WILD, KEEP_SIGN, DOUBLE = 0.7, 3.0, 9.0, 1.0
-BEAM = 24
 
 
 def trigrams(docs: DataFrame) -> np.ndarray:
@@ -120,8 +122,6 @@ def decoder(model: np.ndarray) -> Callable[[str], str]:
                         x, y = y, i
                     if (x, y) not in after or total < after[x, y][0]:
                         after[x, y] = (total, done + letters)
-            if len(after) > BEAM:
-                after = dict(sorted(after.items(), key=lambda s: s[1][0])[:BEAM])
             best = after
         found = min((cost + costs[a][b][0], done) for (a, b), (cost, done) in best.items())[1]
         if len(memo) > 200_000:
@@ -189,7 +189,8 @@ def train(docs: DataFrame, labels: DataFrame, model: np.ndarray) -> tuple[dict[s
     known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     parts = [known.filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for k, n in SAMPLE.items()]
     sample = parts[0].unionByName(parts[1])
-    own = docs.join(F.broadcast(sample), "doc_id").select("toxic", "text")  # at most the sample's rows
+    # One text an id, so at most the sample's rows.
+    own = docs.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("toxic", "text")
     shared = spark.sparkContext.broadcast(model)
 
     def bags(batches: Iterator[pa.RecordBatch], only: dict[str, int] | None = None) -> Iterator[pa.RecordBatch]:
