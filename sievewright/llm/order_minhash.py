@@ -6,21 +6,24 @@ orders, the two least shingles and hashes them in the order in which they stand
 it with the probability that they share both, in the same order. Two sketches side by side make a band; texts
 that share a band are candidates.
 
-1. Equal texts are one class, kept by a 128-bit hash; only classes go on.
+1. Equal texts are one class, kept by a 128-bit hash; only classes go on, under numbers in the order of their first
+   documents.
 2. In each bucket of a band the classes are compared by their sketches, a block at a time, and each is paired
    with a hub, the member whose sketch agrees best with the bucket's commonest values, if they agree in FLOOR
    sketches at least; this round never yields more than a pair a member and joins most copies. A second round pairs
-   members of different components with the NEAREST most alike. The last round takes all pairs of a bucket, across
-   its blocks, that agree in FLOOR sketches and that no links join yet, but for those whose numbers of shingles alone
-   keep them under the threshold; a bucket of alike texts that aren't near-duplicates yields as many pairs as it has.
+   members of different components with the NEAREST most alike. The last round compares all pairs of a bucket, across
+   its blocks, that no links join yet, and yields those that agree in FLOOR sketches, but for those that the numbers of
+   their shingles, or the parities of shingle counts by slot, keep under the threshold. Both are sure bounds, and close
+   ones, so alike texts that aren't near-duplicates are compared but yield next to no pairs.
 3. Pairs are verified on the whole texts: shared labelled shingles are aligned in order, within a band around the
    diagonal that any pair over the threshold keeps to; the aligned share is the similarity.
 
 Two texts of similarity s share a band with probability about 1 - (1 - s**4)**12 (0.998 at 0.8).
 
-Defined cases: null text is empty text; empty texts are equal; texts of under five words have one shingle, all
-their words, so only equal word sequences link; rows that repeat a doc_id get that id's class; a null doc_id
-counts as the largest; an empty table gives no rows.
+Defined cases: null text is empty text; empty texts are equal; texts of under five words have one shingle, all their
+words, so only equal word sequences link; texts of any length are compared whole; rows that repeat a doc_id with its text
+are the same document; of an id (or null) with several texts each text is a document; a null doc_id counts as the
+largest; only the named columns are read, so others may have any names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,10 +37,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import anchors
-from .common import cut_lineage
+from .common import LAST_ID, cut_lineage, identified, numbered
 from .graph import components
 from .seed_extend import word_blocks
-from .suffix_dedup import LAST_ID, flat
+from .suffix_dedup import flat
 
 K = 5
 SKETCHES = 24
@@ -48,6 +51,10 @@ FLOOR = 7
 NEAREST = 2
 #: Members of a bucket that are compared at once; later rounds compare two such blocks.
 BLOCK = 2048
+#: Bytes of text of one side of a tile of pairs, about, and sides at least.
+TILE, SIDE = 1 << 24, 12
+#: Texts to be read again whose ids may be broadcast.
+BROADCAST = 500_000
 SEEDS = anchors.mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
 
 
@@ -91,28 +98,62 @@ def sketch(labelled: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
+def parities(labelled: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """For each text how many of its shingles fall into each slot, modulo 2, a bit a slot; slots: a power of two, 4 to 8
+    times its shingles. Bits in which two texts differ are at most the shingles that only one of them has."""
+    sizes = np.diff(bounds)
+    slots = np.int64(64) << np.ceil(np.log2(np.maximum(1, sizes / 16))).astype(np.int64)
+    starts = np.append(0, np.cumsum(slots))
+    at = (labelled >> np.uint64(7)).astype(np.int64) & np.repeat(slots - 1, sizes)
+    odd = np.bincount(at + np.repeat(starts[:-1], sizes), minlength=starts[-1]).astype(np.uint8) & 1
+    packed, ends = np.packbits(odd, bitorder="little").tobytes(), (starts // 8).tolist()
+    return [packed[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def differing(parity: list[bytes], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Bits in which parities i and j differ, the longer folded to the shorter."""
+    out = np.zeros(len(i), np.int64)
+    sizes = np.array(list(map(len, parity)))
+    width = np.minimum(sizes[i], sizes[j])
+    for w in np.unique(width).tolist():
+        own = np.flatnonzero(width == w)
+        used = np.unique(np.concatenate([i[own], j[own]]))
+        folded = np.empty((len(used), w // 8), np.uint64)
+        for k, row in enumerate(used.tolist()):
+            folded[k] = np.bitwise_xor.reduce(np.frombuffer(parity[row], np.uint64).reshape(-1, w // 8), axis=0)
+        a, b = np.searchsorted(used, i[own]), np.searchsorted(used, j[own])
+        step = max(1, (1 << 22) // w)
+        for at in range(0, len(own), step):
+            part = slice(at, at + step)
+            out[own[part]] = np.bitwise_count(folded[a[part]] ^ folded[b[part]]).sum(1)
+    return out
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """key (128-bit hash of the text), doc_id, sketch (none if the text has no words), size (its shingles)."""
+    """key (128-bit hash of the text), doc_id, copy, sketch (none if the text has no words), size (its shingles), parity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = flat(batch.column(2))
+            data, offsets = flat(batch.column(3))
             for rows, own, hashes in word_blocks(offsets, data):
                 full = np.flatnonzero(np.diff(own) > 0)
                 values: list[bytes | None] = [None] * len(rows)
+                parity: list[bytes | None] = [None] * len(rows)
                 sizes = np.zeros(len(rows), np.int64)
                 if len(full):
                     labelled, bounds = shingles(hashes, own)
                     sizes = np.diff(bounds)
-                    for i, value in zip(full.tolist(), sketch(labelled, bounds[np.append(full, len(own) - 1)]), strict=True):
-                        values[i] = value.astype("<u4").tobytes()
+                    filled = bounds[np.append(full, len(own) - 1)]
+                    for i, value, bits in zip(full.tolist(), sketch(labelled, filled), parities(labelled, filled), strict=True):
+                        values[i], parity[i] = value.astype("<u4").tobytes(), bits
                 part = batch.slice(int(rows[0]), len(rows))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(values, pa.binary()), pa.array(sizes, pa.int64())], names=["key", "doc_id", "sketch", "size"]
+                    [*part.columns[:3], pa.array(values, pa.binary()), pa.array(sizes, pa.int64()), pa.array(parity, pa.binary())],
+                    names=["key", "doc_id", "copy", "sketch", "size", "parity"],
                 )
 
-    keyed = docs.select(F.unhex(F.md5("data")).alias("key"), "doc_id", "data")
-    return keyed.mapInArrow(run, "key binary, doc_id long, sketch binary, size long")
+    keyed = docs.select(F.unhex(F.md5("data")).alias("key"), "doc_id", "copy", "data")
+    return keyed.mapInArrow(run, "key binary, doc_id long, copy long, sketch binary, size long, parity binary")
 
 
 BANDS = SKETCHES // ROWS
@@ -194,11 +235,13 @@ def hub_pairs(buckets: DataFrame) -> DataFrame:
 def open_pairs(buckets: DataFrame, threshold: float, nearest: int | None, size: int = BLOCK) -> DataFrame:
     """(a, b) to verify, a < b: all pairs of a bucket in different components that may reach the threshold.
 
-    With nearest, only so many of the most alike of each member in a pair of blocks. buckets: rows (bucket, node, sketch, size, component). Each pair of blocks of a bucket is compared at once.
+    With nearest, only so many of the most alike of each member in a pair of blocks; without, all whose parities don't
+    rule it out. buckets: rows (bucket, node, sketch, size, component, parity). Each pair of blocks of a bucket is
+    compared at once.
     """
 
     def pairs(held: list) -> pa.RecordBatch:
-        block, i, j = np.array([h[0] for h in held]), held[0][5], held[0][6]
+        block, i, j, parity = np.array([h[0] for h in held]), held[0][5], held[0][6], [h[7] for h in held]
         nodes, sizes, comps = (np.array([h[c] for h in held], np.int64) for c in (1, 3, 4))
         values = np.frombuffer(b"".join(h[2] for h in held), "<u4").reshape(-1, SKETCHES)
         a, b = np.flatnonzero(block == i), np.flatnonzero(block == j)
@@ -213,6 +256,10 @@ def open_pairs(buckets: DataFrame, threshold: float, nearest: int | None, size:
                 same = np.where(good, alike(values[own], values[b]), 0)
                 if nearest is None or nearest >= len(b):
                     x, y = np.nonzero(same >= FLOOR)
+                    if nearest is None:
+                        bound = (1 - threshold) / (1 + threshold) * (sizes[own[x]] + sizes[b[y]]) + 1e-6
+                        some = differing(parity, own[x], b[y]) <= bound
+                        x, y = x[some], y[some]
                 else:
                     y = np.argpartition(-same, nearest, axis=1)[:, :nearest].ravel()
                     x = np.repeat(np.arange(len(own)), nearest)
@@ -226,11 +273,11 @@ def open_pairs(buckets: DataFrame, threshold: float, nearest: int | None, size:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, held = None, []
         for batch in batches:
-            for bucket, *row in zip(*(batch.column(c).to_pylist() for c in range(8)), strict=True):
-                if (bucket, *row[5:]) != current:
+            for bucket, *row in zip(*(batch.column(c).to_pylist() for c in range(9)), strict=True):
+                if (bucket, *row[5:7]) != current:
                     if len(held) > 1:
                         yield pairs(held)
-                    current, held = (bucket, *row[5:]), []
+                    current, held = (bucket, *row[5:7]), []
                 held.append(row)
         if len(held) > 1:
             yield pairs(held)
@@ -238,7 +285,7 @@ def open_pairs(buckets: DataFrame, threshold: float, nearest: int | None, size:
     counts = buckets.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("blocks"))
     own = buckets.join(counts, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("bucket", "block", "node", "sketch", "size", "component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    dealt = dealt.select("bucket", "block", "node", "sketch", "size", "component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "parity")
     key = ["bucket", "i", "j"]
     return dealt.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "a long, b long").distinct()
 
@@ -305,7 +352,8 @@ def verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
                     good[some[k]] = aligned(x, others[k], threshold) >= threshold
         return pa.table({"a": a[good], "b": b[good]})
 
-    side = max(64, int((pairs.count() / 512) ** 0.5))
+    held = texts.agg(F.sum(F.length("data"))).first()[0] or 0
+    side = max(SIDE, -(-held // TILE))
     tiled = pairs.select("a", "b", *(F.pmod(F.xxhash64(c), F.lit(side)).alias(t) for c, t in (("a", "i"), ("b", "j"))))
     ends = tiled.select(F.col("i").alias("ti"), F.col("j").alias("tj"), F.explode(F.array("a", "b")).alias("node")).distinct()
     needed = ends.join(texts, "node").select("ti", "tj", "node", "data")
@@ -313,20 +361,22 @@ def verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, row_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
-    """doc_id, class_id (the least doc_id that links reach), kept (whether it is that document)."""
-    own = docs.select(
-        F.coalesce(F.col(row_id).cast("long"), F.lit(LAST_ID)).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("data")
-    )
+    """doc_id, copy (a hash of the text), class_id (the least doc_id that links reach), kept (whether it is that document)."""
+    own = identified(docs, row_id, F.coalesce(F.col(text), F.lit("")).cast("binary").alias("data"))
     found = cut_lineage(sketches(own))
-    classes = found.groupBy("key").agg(F.min("doc_id").alias("node"), F.first("sketch").alias("sketch"), F.first("size").alias("size"))
+    first = F.min(F.struct("doc_id", "copy")).alias("f")
+    classes = found.groupBy("key").agg(first, F.first("sketch").alias("sketch"), F.first("size").alias("size"), F.first("parity").alias("parity"))
+    classes = cut_lineage(numbered(classes.select("key", "f.*", "sketch", "size", "parity"), "doc_id", "key"))
     bands = F.transform(
         F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.expr("sketch").substr(i * (4 * ROWS) + 1, F.lit(4 * ROWS)))
     )
     spread = classes.filter(F.col("sketch").isNotNull()).select("node", F.explode(bands).alias("bucket"))
     crowded = spread.groupBy("bucket").agg((F.min("node") < F.max("node")).alias("many")).filter("many").select("bucket")
     members = cut_lineage(spread.join(crowded, "bucket").join(classes.select("node", "sketch", "size"), "node").select("bucket", "node", "sketch", "size"))
-    nodes = members.select("node").distinct()
-    texts = own.join(nodes, own["doc_id"] == nodes["node"]).groupBy("node").agg(F.first("data").alias("data"))
+    nodes = cut_lineage(members.select("node").distinct().join(classes.select("node", "doc_id", "copy"), "node"))
+    if nodes.limit(BROADCAST + 1).count() <= BROADCAST:
+        nodes = F.broadcast(nodes)
+    texts = own.join(nodes, ["doc_id", "copy"]).select("node", "data").dropDuplicates(["node"])
     texts = cut_lineage(texts)
 
     first = cut_lineage(hub_pairs(members))
@@ -335,13 +385,16 @@ def near_duplicates(docs: DataFrame, row_id: str = "doc_id", text: str = "text",
     for nearest in (NEAREST, None):
         joined = members.join(components(links).withColumnRenamed("component", "c"), "node", "left").withColumn("component", F.coalesce("c", "node")).drop("c")
         apart = joined.withColumn("open", F.min("component").over(group) < F.max("component").over(group)).filter("open").drop("open")
+        apart = apart.join(classes.select("node", "parity"), "node") if nearest is None else apart.withColumn("parity", F.lit(None).cast("binary"))
         pairs = cut_lineage(open_pairs(apart, threshold, nearest, block).join(tried, ["a", "b"], "left_anti"))
         links = cut_lineage(links.unionByName(verify(pairs, texts, threshold)))
         tried = tried.unionByName(pairs)
 
     labels = components(links)
-    by_key = classes.select("key", "node").join(labels, "node", "left").select("key", F.coalesce("component", "node").alias("class_id"))
-    out = found.select("key", "doc_id").join(by_key, "key").select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+    roots = classes.select(F.col("node").alias("component"), F.col("key").alias("root"), F.col("doc_id").alias("class_id"))
+    by_key = classes.select("key", "node").join(labels, "node", "left").select("key", F.coalesce("component", "node").alias("component")).join(roots, "component")
+    kept = (F.col("key") == F.col("root")) & (F.col("doc_id") == F.col("class_id"))
+    out = found.select("key", "doc_id", "copy").join(by_key, "key").select("doc_id", "copy", "class_id", kept.alias("kept"))
     return out.withColumns({c: F.when(F.col(c) < LAST_ID, F.col(c)) for c in ("doc_id", "class_id")})
 
 
