@@ -162,6 +162,18 @@ def test_near_duplicates_among_alike_texts(spark):
         assert {r["doc_id"]: r["class_id"] for r in order_minhash.near_duplicates(docs, block=block).collect()} == wanted
 
 
+def test_parities_bound_the_difference():
+    rng = np.random.default_rng(15)
+    texts = [rng.integers(0, 2**63, n, dtype=np.uint64) for n in (1, 3, 70, 100, 900)]
+    texts += [np.append(t[: len(t) * 9 // 10], rng.integers(0, 2**63, len(t) // 5, dtype=np.uint64)) for t in texts]
+    texts = [t for t in texts if len(t)]
+    made = order_minhash.parities(np.concatenate(texts), np.append(0, np.cumsum(list(map(len, texts)))))
+    i, j = (x.ravel() for x in np.indices((len(texts), len(texts))))
+    for a, b, n in zip(i, j, order_minhash.differing(made, i, j), strict=True):
+        apart = len(set(texts[a].tolist()) ^ set(texts[b].tolist()))
+        assert n <= apart and (n >= 0.8 * apart or abs(len(texts[a]) - len(texts[b])) > 0.2 * len(texts[a]))
+
+
 def test_alignment_keeps_order():
     a = np.arange(100, dtype=np.uint64)
     assert order_minhash.aligned(a, a, 0.8) == 1
@@ -184,11 +196,11 @@ def test_edit_join(spark):
     for _ in range(500):
         a, b = ("".join(rng.choices("ab", k=rng.randint(0, 8))) for _ in range(2))
         assert line_dedup.within(a, b, 2) == (distance(a, b) <= 2)
-    base = ["".join(rng.choices("abcde ", k=rng.randint(30, 50))).strip() for _ in range(30)]
+    base = ["".join(rng.choices("abcde ", k=rng.choice((3, 9, 12, 19, 25, 40)))).strip() for _ in range(30)]
 
     def changed(x):
         for _ in range(rng.randint(0, 4)):
-            i = rng.randrange(len(x))
+            i = rng.randrange(len(x) + 1)
             x = rng.choice((x[:i] + "é" + x[i:], x[:i] + x[i + 1 :], x[:i] + "b" + x[i + 1 :]))
         return x
 
@@ -196,7 +208,7 @@ def test_edit_join(spark):
     out = {r["doc_id"]: r for r in line_dedup.dedup(frame(spark, rows).repartition(3), carry=("source",)).collect()}
     places = [(i, n, line) for i, t in rows for n, line in line_dedup.lines_of(t)]
     lines = list(dict.fromkeys(x for *_, x in places))
-    near = {x: [y for y in lines if y != x and min(len(x), len(y)) >= 32 and distance(x, y) <= 2] for x in lines}
+    near = {x: [y for y in lines if y != x and distance(x, y) <= line_dedup.allowed(min(len(x), len(y)))] for x in lines}
     root: dict[str, str] = {}
     for x in lines:
         todo = [x]
@@ -371,3 +383,143 @@ def test_digests_of_queries(spark):
     assert all(r["text_crc32"] == zlib.crc32(texts[r["doc_id"]].encode()) and r["size"] == len(texts[r["doc_id"]].encode()) + 8 for r in out)
     kept = registry.queries()["op4_seed_extend"](spark, data).filter("n_removed = 0").limit(5).collect()
     assert all(r["kept_sha256"] == hashlib.sha256(" ".join(WORD.findall(texts[r["doc_id"]])).encode()).hexdigest() for r in kept)
+
+
+CLASHES = ("node", "copy", "data", "key", "line", "probability", "weight", "sampled", "topic", "tokens", "shard", "slot", "score", "part", "_total", "sequence_id", "own_id", "carried", "_node", "n_links", "component")
+
+
+def odd(spark, rows):
+    """Rows with null and repeated ids, and columns of every name that operators use themselves."""
+    df = frame(spark, rows)
+    return df.withColumns({c: F.lit("x") for c in CLASHES}).repartition(3)
+
+
+def odd_rows():
+    rng = random.Random(21)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randint(1, 8))) for _ in range(300)]
+    a, b, c = (" ".join(rng.choices(words, k=90)) for _ in range(3))
+    long = "\n".join(" ".join(rng.choices(words, k=40)) for _ in range(7000))
+    return [(None, a), (None, b), (None, a + " " + b), (5, c), (5, b), (5, c), (6, None), (7, ""), (8, long), (9, "x" + long[300_000:] + a), (3, a[:300])]
+
+
+def in_order(rows, spark):
+    """Distinct documents in the order that operators give them: doc_id, then the text's hash, nulls last."""
+    hashed = spark.createDataFrame([(i, t or "") for i, t in rows], "i long, t string").select("i", "t", F.xxhash64(F.col("t").cast("binary"))).distinct().collect()
+    return sorted(((i, t, h) for i, t, h in hashed), key=lambda r: (r[0] is None, r[0] or 0, r[2]))
+
+
+def test_byte_repeats_of_odd_rows(spark):
+    rows = odd_rows()
+    got = Counter((r["doc_id"], bytes(r["kept"])) for r in suffix_dedup.dedup(odd(spark, rows)).collect())
+    seen, wanted = set(), {}
+    for i, t, _ in in_order(rows, spark):
+        b = t.encode()
+        gone = np.zeros(len(b) + 1, np.int32)
+        for a in range(len(b) - 99):
+            if b[a : a + 100] in seen:
+                gone[a] += 1
+                gone[a + 100] -= 1
+            seen.add(b[a : a + 100])
+        wanted[i, t] = (i, np.frombuffer(b, np.uint8)[np.cumsum(gone[:-1]) == 0].tobytes())
+    assert got == Counter(wanted[i, t or ""] for i, t in rows)
+
+
+def test_word_windows_of_odd_rows(spark):
+    rows = odd_rows()
+    got = Counter((r["doc_id"], bytes(r["kept"])) for r in seed_extend.dedup(odd(spark, rows)).collect())
+    seen, wanted = set(), {}
+    for i, t, _ in in_order(rows, spark):
+        w = WORD.findall(t)
+        own, gone = [tuple(w[a : a + 50]) for a in range(len(w) - 49)], np.zeros(len(w) + 1, np.int32)
+        for a, x in enumerate(own):
+            if x in seen:
+                gone[a] += 1
+                gone[a + 50] -= 1
+        seen.update(own)
+        kept = np.cumsum(gone[:-1]) == 0
+        wanted[i, t] = (i, " ".join(x for x, k in zip(w, kept, strict=True) if k).encode())
+    assert got == Counter(wanted[i, t or ""] for i, t in rows)
+
+
+def test_near_duplicates_of_odd_rows(spark):
+    rows = [*odd_rows(), (None, odd_rows()[0][1] + " end"), (12, odd_rows()[1][1])]
+    got = Counter((r["doc_id"], r["class_id"], r["kept"]) for r in order_minhash.near_duplicates(odd(spark, rows)).collect())
+    # b is in 5, 12 and a null id; a in null ids alone, once with a word more.
+    kept_null = [k for k in got.elements() if k[0] is None and k[2]]
+    assert len(kept_null) == 2  # of a and its near copy one; a + b
+    assert got[None, 5, False] == 1 and got[12, 5, False] == 1 and got[5, 5, True] == 3 and got[6, 6, True] == 1 and got[7, 6, False] == 1
+    assert order_minhash.near_duplicates(frame(spark, [])).count() == 0
+
+
+def test_edit_join_of_odd_rows(spark):
+    rows = [(None, "one line of text\nshared by some here"), (None, "shared by some herf\nanother line"), (4, "shared by some here"), (4, "ab\nac"), (4, "ab\nac"), (5, None), (6, ""), (7, "x" * 700_000), (8, "x" * 700_001)]
+    out = line_dedup.dedup(odd(spark, rows), carry=("source",)).collect()
+    got = Counter((r["doc_id"], r["kept"]) for r in out)
+    assert got == Counter({(None, "one line of text"): 1, (None, "another line"): 1, (4, "shared by some here"): 1, (4, "ab\nac"): 2, (5, ""): 1, (6, ""): 1, (7, "x" * 700_000): 1, (8, ""): 1})
+    assert line_dedup.dedup(frame(spark, [])).count() == 0
+
+
+def test_edit_join_in_blocks(spark):
+    """A key of many lines, in blocks, gives the pairs that one group gives."""
+    rng = random.Random(31)
+    lines = ["the same beginning of a line " + "".join(rng.choices("ab", k=14)) for _ in range(150)]
+    lines = sorted(set(lines))
+    docs = frame(spark, [(i, t) for i, t in enumerate(lines)]).select("doc_id", F.lit(0).cast("long").alias("copy"), "text")
+    keys = line_dedup.shared_keys(line_dedup.join_keys(docs, 3)).groupBy("key", "line").agg(F.max("indexed").alias("indexed"))
+    h = line_dedup.Hashed(lines)
+    signs = spark.createDataFrame(list(zip(h.lines().view(np.int64).tolist(), map(bytearray, h.signatures()), strict=True)), "line long, signature binary")
+    members = keys.join(signs, "line")
+    whole = {tuple(r) for r in line_dedup.candidates(members).collect()}
+    assert whole == {tuple(r) for r in line_dedup.candidates(members, size=16).collect()}
+    name = dict(zip(h.lines().view(np.int64).tolist(), lines, strict=True))
+    near = {frozenset((a, b)) for i, a in enumerate(lines) for b in lines[:i] if distance(a, b) <= 2}
+    assert near <= {frozenset((name[a], name[b])) for a, b in whole}
+
+
+def test_other_operators_of_odd_rows(spark):
+    rows = odd_rows()
+    docs = odd(spark, rows)
+    tokenizers = pytest.importorskip("public_tokenizers")
+    packed = packing.pack(packing.pieces(odd(spark, [*rows, (2**60 + 1, "a")]), tokenizers.path("word_bpe_49k.json"))).collect()
+    assert {r["doc_id"] for r in packed} == {i for i, _ in rows} | {2**60 + 1}
+    assert packing.pack(packing.pieces(frame(spark, []), tokenizers.path("word_bpe_49k.json"))).count() == 0
+    placed = sharding.interleave(docs, shards=3).collect()
+    assert len(placed) == len(rows) and sorted(Counter(r["shard"] for r in placed).values()) == [3, 4, 4]
+    sampled = mixing.sample(mixing.described(docs))
+    assert sampled.count() == len(rows) and sampled.columns.count("probability") == sampled.columns.count("weight") == 1
+    scored = toxicity.score(docs, spark.createDataFrame([(5, 1), (3, 0), (None, 1)], "doc_id long, toxic int"))
+    assert scored.count() == len(rows) and scored.filter("score between 0 and 1").count() == len(rows)
+    assert toxicity.score(frame(spark, []), spark.createDataFrame([], "doc_id long, toxic int")).count() == 0
+    vectors = spark.createDataFrame([(None, [1.0, 0.0], 1), (None, [0.0, 1.0], 1), (3, [1.0, 0.0], 1), (3, [1.0, 0.0], 1)], "vec_id long, embedding array<double>, label int")
+    clashing = vectors.withColumns({c: F.lit("x") for c in CLASHES})
+    assert Counter(tuple(r) for r in nn_descent.near_vectors(clashing).collect()) == Counter({(None, 1, 3, False): 1, (None, 0, None, True): 1, (3, 1, 3, True): 2})
+    assert nn_descent.near_vectors(vectors.limit(0)).count() == 0
+
+
+def test_raking_of_many_cells(spark):
+    """Tables in place of arrays give the same probabilities."""
+    rows = [(i, ("red green blue " * (i % 5 + 1)) + "xyzzy") for i in range(200)]
+    docs = frame(spark, rows).withColumn("source", F.concat(F.lit("s"), F.col("doc_id") % 4))
+    described = mixing.described(docs).cache()
+    for targets in (None, {"source": {"s0": 0.6, "s1": 0.4}}):
+        a = {r["doc_id"]: r["probability"] for r in mixing.sample(described, 0.3, targets).collect()}
+        b = {r["doc_id"]: r["probability"] for r in mixing.sample(described, 0.3, targets, limit=1).collect()}
+        assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], abs=1e-6) for k in a)
+    assert {r["probability"] for r in mixing.sample(described, 1, limit=1).collect()} == {1.0}
+
+
+def test_decoding_is_exact():
+    """Viterbi finds the cheapest of all spellings."""
+    rng = random.Random(14)
+    model = toxicity.language_model(np.random.default_rng(3).random((toxicity.SIZE,) * 3) * 20)
+    decode = toxicity.decoder(model)
+    for _ in range(40):
+        word = "".join(rng.choices("abi10@$3", k=rng.randint(1, 6)))
+        best = {}
+        paths = [("", 0.0)]
+        for options in toxicity.lattice(word):
+            paths = [(done + s, cost + extra) for done, cost in paths for s, extra in options]
+        for done, cost in paths:
+            codes = [0, 0, *(toxicity.INDEX[c] for c in done), 0]
+            best[done] = min(best.get(done, 1e9), cost + sum(float(model[x]) for x in zip(codes, codes[1:], codes[2:], strict=False)))
+        assert best[decode(word)] == pytest.approx(min(best.values()), abs=1e-3)
