@@ -1,14 +1,17 @@
 """A corpus from documents to packed sequences: five stages, each written and read again.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept. The first four return the
-columns of documents; the last returns the pieces of the packed sequences.
+columns of documents; the last returns the pieces of the packed sequences. A stage's output is deleted when the next
+one's is written, except for the last.
+
+Defined cases: null text is empty text; of a null or repeated doc_id each text is a document, and rows that repeat both
+stay or go together; other columns than those of documents are dropped; empty tables give no rows.
 """
 
 from __future__ import annotations
 
 import uuid
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,9 +36,9 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-copies stays."""
-    own = docs.select(*COLUMNS)
-    kept = order_minhash.near_duplicates(own).filter("kept").select(F.col("doc_id").alias("_kept"))
-    return own.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    own = docs.select(*COLUMNS, F.xxhash64(F.coalesce("text", F.lit("")).cast("binary")).alias("copy"))
+    kept = order_minhash.near_duplicates(own).filter("kept").select(F.col("doc_id").alias("kept_id"), F.col("copy").alias("kept_copy"))
+    return own.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("copy") == F.col("kept_copy")), "left_semi").select(*COLUMNS)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,6 +48,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of tokens of near-equal length."""
+    import public_tokenizers
+
     return packing.pack(cut_lineage(packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"))))
 
 
@@ -59,10 +64,17 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def discard(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            discard(spark, f"{folder}/{k - 1}")
     return docs
