@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import anchors
-from .common import LAST_ID, cut_lineage, identified, partitions
+from .common import LAST_ID, cut_lineage, identified, partitions, tidy
 from .graph import components
 
 EDITS = 2
@@ -52,7 +52,7 @@ BLOCK = 1 << 18
 #: Pairs of a group that are generated together with those of others.
 FEW = 64
 #: Keys that a task sorts at once, and keys of a range, about.
-SORTED, RANGE = 1 << 20, 1 << 21
+SORTED, RANGE = 1 << 20, 1 << 20
 #: Lines of a key that are compared at once.
 GROUP = 4096
 #: Places that may be broadcast to the texts.
@@ -159,7 +159,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
                     [ids, copies, pa.array(number, pa.int32()), signed(Hashed(lines).lines())], names=["doc_id", "copy", "number", "line"]
                 )
 
-    return docs.mapInArrow(run, "doc_id long, copy long, number int, line long")
+    return docs.mapInArrow(tidy(run), "doc_id long, copy long, number int, line long")
 
 
 def once(key: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -203,7 +203,7 @@ def join_keys(docs: DataFrame, parts: int) -> DataFrame:
         if held:
             yield emit()
 
-    return docs.select("text").mapInArrow(run, "part int, keys binary, lines binary")
+    return docs.select("text").mapInArrow(tidy(run), "part int, keys binary, lines binary")
 
 
 def shared_keys(runs: DataFrame) -> DataFrame:
@@ -241,7 +241,7 @@ def shared_keys(runs: DataFrame) -> DataFrame:
         if held:
             yield step()
 
-    return runs.repartition("part").sortWithinPartitions("part").mapInArrow(run, "key long, line long, indexed boolean")
+    return runs.repartition("part").sortWithinPartitions("part").mapInArrow(tidy(run), "key long, line long, indexed boolean")
 
 
 def candidates(members: DataFrame, size: int = GROUP) -> DataFrame:
@@ -424,7 +424,7 @@ def dedup(docs: DataFrame, row_id: str = "doc_id", text: str = "text", carry: tu
 
     out = whole.join(per_doc, ["doc_id", "copy"], "left").select("doc_id", F.coalesce("lines", F.array().cast(shape)).alias("lines"), "carried", "text")
     kind = out.schema["carried"].dataType.simpleString()
-    return out.mapInArrow(run, f"doc_id long, lines {shape}, carried {kind}, kept string").withColumn("doc_id", F.when(F.col("doc_id") < LAST_ID, F.col("doc_id")))
+    return out.mapInArrow(tidy(run), f"doc_id long, lines {shape}, carried {kind}, kept string").withColumn("doc_id", F.when(F.col("doc_id") < LAST_ID, F.col("doc_id")))
 
 
 def op7_edit_join(spark, sf_dir: str) -> DataFrame:

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import anchors
-from .common import LAST_ID, cut_lineage, identified, numbered
+from .common import LAST_ID, cut_lineage, identified, numbered, tidy
 from .graph import components
 from .seed_extend import word_blocks
 from .suffix_dedup import flat
@@ -153,7 +153,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 )
 
     keyed = docs.select(F.unhex(F.md5("data")).alias("key"), "doc_id", "copy", "data")
-    return keyed.mapInArrow(run, "key binary, doc_id long, copy long, sketch binary, size long, parity binary")
+    return keyed.mapInArrow(tidy(run), "key binary, doc_id long, copy long, sketch binary, size long, parity binary")
 
 
 BANDS = SKETCHES // ROWS
@@ -401,4 +401,4 @@ def near_duplicates(docs: DataFrame, row_id: str = "doc_id", text: str = "text",
 def op6_order_minhash(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept")

@@ -25,6 +25,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 CAPACITY = 2048
 GRAIN = 512
 WINDOWS = 128
@@ -229,7 +231,7 @@ def pieces(
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), schema)
 
 
 def pack(found: DataFrame, capacity: int = CAPACITY, windows: int = WINDOWS, groups: int | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ from .fingerprints import op3_i_match
 from .line_dedup import op7_edit_join
 from .mixing import op1_raking
 from .nn_descent import op8_nn_descent
+from .oracles import oracle_sql
 from .order_minhash import op6_order_minhash
 from .packing import op10_karmarkar_karp
 from .seed_extend import op4_seed_extend
@@ -13,6 +14,8 @@ from .sharding import op9_interleave
 from .suffix_dedup import op2_suffix_merge
 from .toxicity import op5_deobfuscate
 
+__all__ = ["oracle_sql", "queries"]
+
 
 def queries() -> dict:
     return {
@@ -27,7 +30,3 @@ def queries() -> dict:
         "op9_interleave": op9_interleave,
         "op10_karmarkar_karp": op10_karmarkar_karp,
     }
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}

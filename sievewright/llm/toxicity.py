@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 SAMPLE = {1: 6000, 0: 12000}
 FEATURES = 1024
 #: Rows of the sample that a feature must be in.
@@ -65,7 +67,7 @@ def trigrams(docs: DataFrame) -> np.ndarray:
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(total[found], pa.int64())], names=["code", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select("text").mapInArrow(tidy(run), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(SIZE**3, np.float64)
     for r in rows:
         out[r["code"]] = r["n"]
@@ -202,7 +204,7 @@ def train(docs: DataFrame, labels: DataFrame, model: np.ndarray) -> tuple[dict[s
             kind = pa.list_(pa.int32() if only is not None else pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(list, found), kind)], names=["toxic", "found"])
 
-    seen = own.mapInArrow(bags, "toxic int, found array<string>").select("toxic", F.explode("found").alias("f"))
+    seen = own.mapInArrow(tidy(bags), "toxic int, found array<string>").select("toxic", F.explode("found").alias("f"))
     sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(sizes) < 2:
         return None
@@ -247,7 +249,7 @@ def score(docs: DataFrame, labels: DataFrame, row_id: str = "doc_id", text: str
 
     keep = [c for c in docs.columns if c != "score"]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return docs.select(*keep, F.col(text).alias("_scored")).mapInArrow(run, f"{fields}, score double")
+    return docs.select(*keep, F.col(text).alias("_scored")).mapInArrow(tidy(run), f"{fields}, score double")
 
 
 def fold(row_id: str = "doc_id"):
