@@ -379,18 +379,19 @@ def near_duplicates(docs: DataFrame, row_id: str = "doc_id", text: str = "text",
     texts = own.join(nodes, ["doc_id", "copy"]).select("node", "data").dropDuplicates(["node"])
     texts = cut_lineage(texts)
 
-    first = cut_lineage(hub_pairs(members))
-    links = cut_lineage(verify(first, texts, threshold))
-    tried, group = first, Window.partitionBy("bucket")
+    tried = cut_lineage(hub_pairs(members))
+    labels = components(verify(tried, texts, threshold))
+    group = Window.partitionBy("bucket")
     for nearest in (NEAREST, None):
-        joined = members.join(components(links).withColumnRenamed("component", "c"), "node", "left").withColumn("component", F.coalesce("c", "node")).drop("c")
+        joined = members.join(labels.withColumnRenamed("component", "c"), "node", "left").withColumn("component", F.coalesce("c", "node")).drop("c")
         apart = joined.withColumn("open", F.min("component").over(group) < F.max("component").over(group)).filter("open").drop("open")
         apart = apart.join(classes.select("node", "parity"), "node") if nearest is None else apart.withColumn("parity", F.lit(None).cast("binary"))
         pairs = cut_lineage(open_pairs(apart, threshold, nearest, block).join(tried, ["a", "b"], "left_anti"))
-        links = cut_lineage(links.unionByName(verify(pairs, texts, threshold)))
+        links = cut_lineage(verify(pairs, texts, threshold))
+        if not links.isEmpty():
+            labels = components(links.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b"))))
         tried = tried.unionByName(pairs)
 
-    labels = components(links)
     roots = classes.select(F.col("node").alias("component"), F.col("key").alias("root"), F.col("doc_id").alias("class_id"))
     by_key = classes.select("key", "node").join(labels, "node", "left").select("key", F.coalesce("component", "node").alias("component")).join(roots, "component")
     kept = (F.col("key") == F.col("root")) & (F.col("doc_id") == F.col("class_id"))
