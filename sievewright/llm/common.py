@@ -59,18 +59,23 @@ def numbered(df: DataFrame, *order: str) -> DataFrame:
     return df.repartitionByRange(many, *order).sortWithinPartitions(*order).withColumn("node", F.monotonically_increasing_id())
 
 
+def trim() -> None:
+    """Gives memory that a worker no longer uses back."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    own = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if own:
+        own(0)
+
+
 def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """run for mapInArrow, after which the worker, which lives on, gives the memory that it no longer uses back."""
+    """run for mapInArrow, after which the worker, which lives on, trims its memory."""
 
     @wraps(run)
     def tidied(batches: Iterator) -> Iterator:
         yield from run(batches)
-        import pyarrow as pa
-
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim:
-            trim(0)
+        trim()
 
     return tidied
 

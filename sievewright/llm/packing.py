@@ -25,14 +25,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tidy
+from .common import tidy, trim
 
 CAPACITY = 2048
 GRAIN = 512
 WINDOWS = 128
 END_ID = 1
 #: Distinct words that a Python worker remembers the ids of; beyond it the memory starts anew.
-MEMO = 400_000
+MEMO = 300_000
 #: Bytes of text that are encoded together.
 PORTION = 1 << 23
 #: Letters whose lower case and composition are the same for each character alone, so that chunks
@@ -89,7 +89,7 @@ def word_encoder(path: str) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the threads
     from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-    whole = Tokenizer.from_file(path)
+    whole: list[Tokenizer] = []  # made when a text needs it
     with open(path) as file:
         spec = json.load(file)
     pattern = next(x["pattern"]["Regex"] for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
@@ -131,7 +131,9 @@ def word_encoder(path: str) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray
         heads = np.append(0, np.append(0, ends)[np.cumsum(pc.list_value_length(split).to_numpy())])
         if len(odd):
             lists = [ids[a:b] for a, b in zip(heads[:-1], heads[1:], strict=True)]
-            found = whole.encode_batch_fast(texts.take(pa.array(odd)).to_pylist(), add_special_tokens=False)
+            if not whole:
+                whole.append(Tokenizer.from_file(path))
+            found = whole[0].encode_batch_fast(texts.take(pa.array(odd)).to_pylist(), add_special_tokens=False)
             for i, encoding in zip(odd.tolist(), found, strict=True):
                 lists[i] = np.array(encoding.ids, np.uint32)
             ids, heads = np.concatenate(lists), np.append(0, np.cumsum(list(map(len, lists))))
@@ -228,6 +230,8 @@ def pieces(
                 names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
                 if with_ids:
                     arrays, names = [*arrays, pa.array(cols[5], pa.binary())], [*names, "ids"]
+                del found, raw, cols
+                trim()  # or the many strings of a portion keep memory from the next
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids
