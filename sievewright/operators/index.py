@@ -64,9 +64,10 @@ def hashed_embedding(text: Column, dim: int = 256) -> Column:
     return embed(T.tokens(text))
 
 
-def embed(chunks: DataFrame, dim: int = 256, key: str = "chunk_id", text: str = "text") -> DataFrame:
-    """key, point_id, embedding."""
-    return chunks.select(key, T.point_id(F.col(key).cast("string")).alias("point_id"), hashed_embedding(F.col(text), dim).alias("embedding"))
+def embed(chunks: DataFrame, dim: int = 256, key: str = "chunk_id", text: str = "text", embedding: Column | None = None) -> DataFrame:
+    """key, point_id, embedding: by feature hashing, or as given."""
+    vector = hashed_embedding(F.col(text), dim) if embedding is None else embedding
+    return chunks.select(key, T.point_id(F.col(key).cast("string")).alias("point_id"), vector.alias("embedding"))
 
 
 def postings(chunks: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,7 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int, key: str = "chunk
     """query_id, key, score, rank by cosine. queries: query_id, embedding; vectors: key, embedding[, order].
 
     Vectors are never moved: each batch of them meets a block of queries as one matrix product and keeps its own
-    best k a query.
+    best k a query. Null and zero vectors have score 0; without queries or vectors there are no rows.
     """
     order = order or key
     kind = vectors.schema[key].dataType.simpleString()
@@ -47,7 +47,10 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int, key: str = "chunk
 
 def _dense_block(held: list, vectors: DataFrame, k: int, key: str, order: str, schema: str) -> DataFrame:
     ids = [q for q, _ in held]
-    matrix = np.array([v for _, v in held], float).reshape(len(held), -1)
+    width = max((len(v) for _, v in held if v), default=0)
+    matrix = np.zeros((len(held), width))
+    for row, (_, v) in zip(matrix, held, strict=True):
+        row[: len(v or ())] = [0.0 if x is None else x for x in v or ()]  # a null vector is like nothing
     norms = np.linalg.norm(matrix, axis=1, keepdims=True)
     matrix = np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
 
@@ -55,7 +58,12 @@ def _dense_block(held: list, vectors: DataFrame, k: int, key: str, order: str, s
         for batch in batches:
             if not batch.num_rows or not ids:
                 continue
-            x = np.array(batch.column(2).values.to_numpy(zero_copy_only=False), float).reshape(batch.num_rows, -1)
+            column = batch.column(2)
+            sizes = column.value_lengths().fill_null(0).to_numpy()
+            if not np.isin(sizes, (0, width)).all():
+                raise ValueError(f"vectors must have {width} numbers, as the queries have")
+            x = np.zeros((batch.num_rows, width))
+            x[sizes > 0] = np.nan_to_num(column.flatten().to_numpy(zero_copy_only=False).astype(float)).reshape(-1, width)
             size = np.linalg.norm(x, axis=1)
             scores = np.clip(np.divide(matrix @ x.T, size, out=np.zeros((len(ids), len(x))), where=size > 0), -1, 1)
             # Ties with the k-th stay in, for the order of the corpus to settle.
@@ -74,8 +82,8 @@ def _arrow(schema: str) -> pa.DataType:
     return {"bigint": pa.int64(), "long": pa.int64(), "int": pa.int32()}.get(schema.split()[1].rstrip(","), pa.string())
 
 
-def bm25_scores(queries: DataFrame, index: Bm25) -> DataFrame:
-    """query_id, key, score of the chunks that share a term. queries: query_id, query.
+def bm25_parts(queries: DataFrame, index: Bm25) -> DataFrame:
+    """query_id, key, part: what each shared term adds to a chunk's score. queries: query_id, query.
 
     Only postings of the queries' terms are joined. A term counts as often as the query has it.
     """
@@ -84,7 +92,7 @@ def bm25_scores(queries: DataFrame, index: Bm25) -> DataFrame:
     k1, b, avgdl = index.k1, index.b, index.avgdl or 1.0
     hits = index.postings.join(weighted, "term").join(index.lengths.select(index.key, "dl"), index.key)
     part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
-    return hits.groupBy("query_id", index.key).agg(F.sum(part).alias("score"))
+    return hits.select("query_id", index.key, part.alias("part"))
 
 
 def bm25_topk(queries: DataFrame, index: Bm25, k: int) -> DataFrame:
@@ -93,14 +101,12 @@ def bm25_topk(queries: DataFrame, index: Bm25, k: int) -> DataFrame:
     As long as no score can be negative, the zeros that can get into the first k are among the first 2k chunks.
     """
     key = index.key
-    scored = bm25_scores(queries, index)
-    ids = queries.select("query_id").distinct()
     place = index.lengths.select(key, "corpus_idx")
-    fill = place if index.floor < 0 else place.orderBy("corpus_idx").limit(2 * k)
-    zeros = ids.crossJoin(F.broadcast(fill) if index.floor >= 0 else fill).select("query_id", key)
-    zeros = zeros.join(scored.select("query_id", key), ["query_id", key], "left_anti").withColumn("score", F.lit(0.0))
-    every = scored.unionByName(zeros).join(place, key)
-    return ranked(every, [F.desc(F.round("score", DIGITS)), F.asc("corpus_idx")], k).select("query_id", key, "score", "rank")
+    fill = place if index.floor < 0 else F.broadcast(place.orderBy("corpus_idx").limit(2 * k))
+    # Zeros add nothing where there are other parts, so one sum serves all.
+    zeros = queries.select("query_id").distinct().crossJoin(fill.select(key)).withColumn("part", F.lit(0.0))
+    scored = bm25_parts(queries, index).unionByName(zeros).groupBy("query_id", key).agg(F.sum("part").alias("score"))
+    return ranked(scored.join(place, key), [F.desc(F.round("score", DIGITS)), F.asc("corpus_idx")], k).select("query_id", key, "score", "rank")
 
 
 def rrf(rankings: list[DataFrame], key: str = "chunk_id", k: int = 60) -> DataFrame:
@@ -174,7 +180,7 @@ def hybrid(
     top_k_sparse: int = 20,
     rrf_k: int = 60,
     pool_factor: int = 4,
-    reranker: str | None = "lexical",
+    reranker: str | Callable | None = "lexical",
     key: str = "chunk_id",
     order: str | None = None,
 ) -> DataFrame:
@@ -187,6 +193,8 @@ def hybrid(
     pool = hydrate(fused.withColumn("sources", sources(F.col("r0"), F.col("r1"))).drop("r0", "r1"), chunks, key)
     if reranker is None:
         return rerank_identity(pool, k)
+    if callable(reranker):  # makes a model, see rerank_model
+        return rerank_model(pool.join(queries.select("query_id", "query"), "query_id"), k, reranker).drop("query")
     if reranker not in RERANKERS:
         raise ValueError(f"unknown reranker {reranker!r}")
     return RERANKERS[reranker](pool.join(queries.select("query_id", "query"), "query_id"), k).drop("query")

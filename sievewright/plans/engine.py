@@ -9,11 +9,11 @@ import subprocess
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import answer as A
-from ..operators import chunking, corrective, evaluate, index, retrieve
+from ..operators import chunking, corrective, evaluate, index, live, retrieve
 from ..operators import verify as V
 from ..settings import Settings
 from ..sources import files
@@ -42,10 +42,23 @@ def versions() -> dict[str, str | None]:
 class Engine:
     """Reads what build() stored last. Each build goes to a folder of its own, and a pointer is switched at the end."""
 
-    def __init__(self, spark: SparkSession, settings: Settings | None = None, generate: Callable[[DataFrame], DataFrame] = A.offline):
+    def __init__(
+        self,
+        spark: SparkSession,
+        settings: Settings | None = None,
+        generate: Callable[[DataFrame], DataFrame] = A.offline,
+        embedders: dict[str, Callable] | None = None,
+        reranker: str | Callable = "lexical",
+    ):
+        """embedders: makers of models by the names that settings.embedding_model may have; reranker: see retrieve.hybrid."""
         self.spark, self.settings, self.generate = spark, settings or Settings(), generate
+        self.embedders, self.reranker = embedders, reranker
         self._loaded: tuple[DataFrame, DataFrame, index.Bm25] | None = None
 
+    def embedded(self, text: Column) -> Column:
+        """The vector of a text by the embedder that the settings name, which must be there."""
+        return live.embedding(text, self.settings.embedding_model, self.settings.embedding_dim, self.embedders)
+
     # Building
 
     def build(self, docs: DataFrame | None = None) -> dict:
@@ -55,7 +68,7 @@ class Engine:
         found = chunking.chunk(docs, s.chunk_strategy, s.chunk_size, s.chunk_overlap)
         files.with_corpus_index(found).write.parquet(f"{folder}/chunks")
         chunks = spark.read.parquet(f"{folder}/chunks")
-        index.write_vectors(index.embed(chunks, s.embedding_dim), f"{folder}/vectors")
+        index.write_vectors(index.embed(chunks, s.embedding_dim, embedding=self.embedded(F.col("text"))), f"{folder}/vectors")
         fitted = index.bm25_index(chunks, k1=s.bm25_k1, b=s.bm25_b, epsilon=s.bm25_epsilon)
         index.write_bm25(fitted, f"{folder}/bm25")
         fitted.postings.unpersist()
@@ -114,8 +127,8 @@ class Engine:
         s = self.settings
         chunks, vectors, bm25 = self.load()
         vectors = vectors.join(chunks.select("chunk_id", "corpus_idx"), "chunk_id").withColumn("corpus_idx", F.to_json("corpus_idx"))
-        asked = queries.select("query_id", "query", index.hashed_embedding(F.col("query"), s.embedding_dim).alias("embedding"))
-        chosen = ("lexical" if s.use_reranker else None) if reranker == "default" else reranker
+        asked = queries.select("query_id", "query", self.embedded(F.col("query")).alias("embedding"))
+        chosen = (self.reranker if s.use_reranker else None) if reranker == "default" else reranker
         return retrieve.hybrid(
             asked, chunks, vectors, bm25, k=s.top_k_rerank if k is None else k, top_k_dense=s.top_k_dense, top_k_sparse=s.top_k_sparse,
             rrf_k=s.rrf_k, pool_factor=s.rerank_pool_factor, reranker=chosen, order="corpus_idx",
@@ -149,12 +162,12 @@ class Engine:
         s = self.settings
         chunks, vectors, bm25 = self.load()
         vectors = vectors.join(chunks.select("chunk_id", "corpus_idx"), "chunk_id").withColumn("corpus_idx", F.to_json("corpus_idx"))
-        asked = queries.select("query_id", "query", index.hashed_embedding(F.col("query"), s.embedding_dim).alias("embedding"))
+        asked = queries.select("query_id", "query", self.embedded(F.col("query")).alias("embedding"))
         runs = {
             "dense": retrieve.dense_topk(asked, vectors, k, order="corpus_idx"),
             "sparse": retrieve.bm25_topk(asked, bm25, k),
             "hybrid": self.retrieve(queries, k, None),
-            "hybrid_rerank": self.retrieve(queries, k, "lexical"),
+            "hybrid_rerank": self.retrieve(queries, k, self.reranker),
         }
         out = None
         for config, found in runs.items():

@@ -33,7 +33,7 @@ def passages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries_of(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 12), " ").alias("query"))
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
 def embedded_queries(spark: SparkSession, d: str) -> DataFrame:
@@ -421,7 +421,7 @@ def in_list(words) -> str:
     return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
 
 
-QUERIES = "q AS (SELECT item_id AS query_id, array_to_string(string_split(text, ' ')[1:12], ' ') AS query FROM benchmark)"
+QUERIES = "q AS (SELECT item_id AS query_id, text AS query FROM benchmark)"
 POSTINGS = f"""tok AS (SELECT doc_id, unnest({tok('text')}) AS t FROM documents),
 post AS (SELECT doc_id, t, count(*) AS tf FROM tok GROUP BY ALL),
 len AS (SELECT doc_id, len({tok('text')}) AS dl FROM documents),

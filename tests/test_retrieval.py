@@ -113,3 +113,46 @@ def test_upsert_is_idempotent(spark):
     new = spark.createDataFrame([("b", 3), ("c", 4), ("c", 4)], "point_id string, v int")
     once = index.upsert(old, new)
     assert sorted(map(tuple, index.upsert(once, new).collect())) == [("a", 1), ("b", 3), ("c", 4)]
+
+
+def test_odd_vectors_and_queries(spark):
+    from sievewright.operators import retrieve
+
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0]), (4, [None, 2.0]), (5, [1.0, 1.0])], "chunk_id long, embedding array<double>")
+    queries = spark.createDataFrame([(10, [0.0, 1.0]), (11, None)], "query_id long, embedding array<double>")
+    got = {(r["query_id"], r["rank"]): (r["chunk_id"], round(r["score"], 6)) for r in retrieve.dense_topk(queries, vectors, 2).collect()}
+    assert got == {(10, 1): (4, 1.0), (10, 2): (5, 0.707107), (11, 1): (1, 0.0), (11, 2): (2, 0.0)}
+    assert retrieve.dense_topk(queries.limit(0), vectors, 2).count() == 0
+    assert retrieve.dense_topk(queries, vectors.limit(0), 2).count() == 0
+
+
+def test_live_models(spark):
+    from pyspark.sql import functions as F
+
+    from sievewright.operators import live
+
+    def embedder():
+        return lambda texts: [[float(len(t)), 3.0] for t in texts]
+
+    def model():
+        def reply(prompt):
+            if "Split the answer" in prompt:
+                return "1. it is red\n- it is big\n\n"
+            if "follow from the passage" in prompt:
+                return "Yes." if prompt.count("red") > 1 else "no"
+            if "Write 2 questions" in prompt:
+                return "noncommittal" if "don't know" in prompt else "what?\nwhich?\nwho?"
+            return "" if "search finds" in prompt else "YES, it does"
+
+        return reply
+
+    rows = spark.createDataFrame([(1, "q", "a", "it is red", "ref", "it"), (2, "q", "I don't know", None, "ref", "it")], "query_id long, query string, answer string, context string, reference_answer string, text string")
+    assert [r["v"] for r in rows.select(live.embedding(F.lit("four"), "own", 2, {"own": embedder}).alias("v")).limit(1).collect()] == [[0.8, 0.6]]
+    with pytest.raises(ValueError):
+        live.embedding(F.lit("x"), "unknown", 2)
+    assert {r["relevant"] for r in live.graded(rows, model).collect()} == {True} == {r["correct"] for r in live.judged(rows, model).collect()}
+    assert {r["query"] for r in live.rewritten(rows, model).collect()} == {"q"}
+    faith = {r["query_id"]: (r["n_statements"], r["n_supported"], r["faithfulness"]) for r in live.faithfulness(rows, model).collect()}
+    assert faith[1] == (2, 1, 0.5) and faith[2][0] == 2
+    asked = {r["query_id"]: (r["questions"], r["noncommittal"]) for r in live.questions(rows, 2, model).collect()}
+    assert asked == {1: (["what?", "which?"], False), 2: ([], True)}
