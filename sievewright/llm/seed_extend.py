@@ -155,7 +155,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
     marks = cut_lineage(settle_runs(word_runs(docs, length, gram), whole_doc=True))
     n = marks.agg(F.sum(F.size("open"))).first()[0] or 0
     parts = max(partitions(docs.sparkSession), -(-n // (MERGE // 4)))
-    open_docs = marks.filter(F.size("open") > 0).select("doc_id", "open").join(docs, "doc_id").select("doc_id", "data", "open")
+    # All columns, so that the exchange of the texts is the one that strip() reads again.
+    open_docs = marks.filter(F.size("open") > 0).select("doc_id", "open").join(docs, "doc_id").select("doc_id", "data", "open", *docs.columns[2:])
     found = extended(contexts(open_docs, length), length, gram, parts)
     per_doc = found.groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("found"))
     return marks.select("doc_id", "places").join(per_doc, "doc_id", "full")
