@@ -523,3 +523,23 @@ def test_decoding_is_exact():
             codes = [0, 0, *(toxicity.INDEX[c] for c in done), 0]
             best[done] = min(best.get(done, 1e9), cost + sum(float(model[x]) for x in zip(codes, codes[1:], codes[2:], strict=False)))
         assert best[decode(word)] == pytest.approx(min(best.values()), abs=1e-3)
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_fingerprints_of_odd_rows(spark, tmp_path, empty):
+    rows = [] if empty else odd_rows()
+    odd(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    out = fingerprints.op3_i_match(spark, str(tmp_path)).collect()
+    assert Counter(r["doc_id"] for r in out) == Counter(i for i, _ in rows)
+    assert all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in out)
+    marks = {}
+    for r in out:
+        marks.setdefault(r["n_chars"], set()).add(r["fingerprint"])
+    for n in {len(t or "") for _, t in rows}:
+        assert len(marks[n]) == len({t or "" for _, t in rows if len(t or "") == n})
+    following = {i: t or "" for i, t in rows}
+    for r in out:
+        if r["doc_id"] in (8, 9):  # the next of 9 is 8, and of 8 is 7, which is empty
+            own, after = following[r["doc_id"]], following[r["doc_id"] - 1]
+            half = len(own) // 2
+            assert r["edited_sha256"] == hashlib.sha256((own[: len(own) - half] + after[:half]).encode()).hexdigest()
