@@ -11,9 +11,9 @@ Document frequencies are counted over all documents. The lexicon's size is bound
 most (distinct words of a mean document) / LOW terms are that frequent. It is broadcast after its size is
 checked, else joined by a shuffle.
 
-Defined cases: null text is empty text; texts of few words that have under MIN_TERMS terms in the band use all
-their words; other texts under it, and texts without words, have the hash of all their words for every subset;
-equal rows are documents of their own; null ids sort last; an empty table gives no rows.
+Defined cases: null text is empty text; a text of any length that has under MIN_TERMS terms in the band uses its
+LEAST words of lowest hash in their place, so near-copies agree on most of them; a text without words has no terms in any
+subset; equal rows are documents of their own; null ids sort last; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,8 +26,8 @@ from .common import cut_lineage, partitions
 #: The band of inverse document frequency, ln(1/HIGH) to ln(1/LOW), as shares of the documents.
 LOW, HIGH = 0.002, 0.05
 MIN_TERMS = 4
-#: Texts of at most so many distinct words keep them all at hand.
-FEW = 32
+#: Words of lowest hash that stand in where the band has too few.
+LEAST = 32
 #: (subsets, halvings): a term is in a subset of so many halvings with probability 2 to that power, inverse.
 SUBSETS = ((8, 4), (24, 6), (32, 8))
 TOTAL = sum(n for n, _ in SUBSETS)
@@ -113,10 +113,15 @@ def with_next(docs: DataFrame) -> DataFrame:
     ).drop("guest")
 
 
-def used_terms(found: Column) -> Column:
-    """Of structs (term, member, banded), the sorted terms that are hashed; null if all words are hashed instead."""
-    banded = F.filter(found, lambda t: t["banded"])
-    return F.when(F.size(banded) >= MIN_TERMS, F.sort_array(banded)).when((F.size(found) > 0) & (F.size(found) <= FEW), F.sort_array(found))
+def least_words(words: Column) -> Column:
+    """(h, term) of the LEAST distinct words of lowest hash."""
+    return F.slice(F.sort_array(F.transform(words, lambda w: F.struct(F.xxhash64(w).alias("h"), w.alias("term")))), 1, LEAST)
+
+
+def used_terms(banded: Column, least: Column) -> Column:
+    """The sorted (term, member) that are hashed."""
+    stand_in = F.transform(least, lambda x: F.struct(x["term"].alias("term"), membership(x["h"]).alias("member")))
+    return F.sort_array(F.when(F.size(banded) >= MIN_TERMS, banded).otherwise(stand_in))
 
 
 def hash_field(h: Column) -> Column:
@@ -135,12 +140,6 @@ def group_hashes(terms_of_group: Column, group: int) -> Column:
     return F.when(F.size(terms_of_group) == 0, none).otherwise(F.transform(subsets, one))
 
 
-def subset_hashes(used: Column, groups: list[Column], whole: Column) -> Column:
-    """used: a column of used_terms; groups: its terms by group of subsets; whole: hash of all words."""
-    everything = F.transform(F.sequence(F.lit(0), F.lit(TOTAL - 1)), lambda k: hash_field(F.xxhash64(whole, k)))
-    return F.when(used.isNull(), everything).otherwise(F.concat(*[group_hashes(g, i) for i, g in enumerate(groups)]))
-
-
 def of_group(used: Column, group: int) -> Column:
     mask = ((1 << GROUP) - 1) << (group * GROUP)
     mask = mask - (1 << 64) if mask >> 63 else mask
@@ -155,48 +154,44 @@ def likeness(a: Column, b: Column) -> Column:
 
 def fingerprint(rows: DataFrame, keys: list[str], texts: list[str], lex: DataFrame) -> DataFrame:
     """Adds `<text>_hashes`, the array of subset hashes, for each text column; keys tell rows apart."""
-    columns = list(rows.columns)
-    for t in texts:
-        rows = rows.withColumn(f"{t}_words", terms(F.col(t)))
-    wholes = {f"{t}_whole": F.xxhash64(F.sort_array(f"{t}_words")) for t in texts}
-    rows = rows.withColumns(wholes)
-
-    def side(s: int, t: str) -> Column:
-        few = F.col(f"{t}_few")
-        return F.transform(F.col(f"{t}_words"), lambda w: F.struct(F.lit(s).alias("side"), w.alias("term"), few.alias("few")))
-
-    rows = rows.withColumns({f"{t}_few": F.size(f"{t}_words") <= FEW for t in texts})
-    sides = [side(s, t) for s, t in enumerate(texts)]
-    mark = F.array(F.struct(F.lit(-1).alias("side"), F.lit("").alias("term"), F.lit(False).alias("few")))
-    keep = [c for c in columns if c not in texts] + list(wholes)
+    keep = [c for c in rows.columns if c not in texts]
+    rows = rows.withColumns({f"{t}_words": terms(F.col(t)) for t in texts})
+    kind = "array<struct<h:bigint,term:string>>"
+
+    def element(side: int, term: Column, least: list[Column]) -> Column:
+        return F.struct(F.lit(side).alias("side"), term.alias("term"), *[c.cast(kind).alias(f"least{i}") for i, c in enumerate(least)])
+
+    # A mark of each row, which alone carries its words of lowest hash, and one element for each word.
+    mark = F.array(element(-1, F.lit(""), [least_words(F.col(f"{t}_words")) for t in texts]))
+    nothing = [F.lit(None)] * len(texts)
+
+    def of_words(side: int, words: Column) -> Column:
+        return F.transform(words, lambda w: element(side, w, nothing))
+
+    sides = [of_words(s, F.col(f"{t}_words")) for s, t in enumerate(texts)]
     long = rows.select(*keep, F.explode(F.concat(mark, *sides)).alias("t")).withColumn("term_hash", F.xxhash64("t.term"))
     lex = lex.withColumn("hit", F.lit(True))
     small = lex.limit(BROADCAST + 1).count() <= BROADCAST
-    joined = long.join(F.broadcast(lex) if small else lex, "term_hash", "left").filter(F.col("hit") | (F.col("t.side") == -1) | F.col("t.few"))
-    item = F.struct(
-        F.col("t.side").alias("side"),
-        F.col("t.term").alias("term"),
-        F.coalesce("member", membership(F.col("term_hash"))).alias("member"),
-        F.coalesce("hit", F.lit(False)).alias("banded"),
-    )
+    joined = long.join(F.broadcast(lex) if small else lex, "term_hash", "left").filter(F.col("hit") | (F.col("t.side") == -1))
+    item = F.struct(F.col("t.side").alias("side"), F.col("t.term").alias("term"), F.col("member"))
     gathered = joined.groupBy(*keys).agg(
-        F.collect_list(F.when(F.col("t.side") >= 0, item)).alias("_found"), *[F.first(c).alias(c) for c in keep if c not in keys]
+        F.collect_list(F.when(F.col("t.side") >= 0, item)).alias("_found"),
+        *[F.first(f"t.least{i}", ignorenulls=True).alias(f"{t}_least") for i, t in enumerate(texts)],
+        *[F.first(c).alias(c) for c in keep if c not in keys],
     )
 
     def of_side(s: int) -> Column:
         own = F.filter("_found", lambda x: x["side"] == s)
-        return F.transform(own, lambda x: F.struct(x["term"].alias("term"), x["member"].alias("member"), x["banded"].alias("banded")))
+        return F.transform(own, lambda x: F.struct(x["term"].alias("term"), x["member"].alias("member")))
 
     # Each step is a column of its own, so that no lambda works one out anew for each element.
     gathered = gathered.withColumns({f"{t}_own": of_side(s) for s, t in enumerate(texts)})
-    gathered = gathered.withColumns({f"{t}_used": used_terms(F.col(f"{t}_own")) for t in texts})
-    parts = {f"{t}_group{i}": of_group(F.col(f"{t}_used"), i) for t in texts for i in range(TOTAL // GROUP)}
+    gathered = gathered.withColumns({f"{t}_used": used_terms(F.col(f"{t}_own"), F.col(f"{t}_least")) for t in texts})
+    groups = range(TOTAL // GROUP)
+    parts = {f"{t}_group{i}": of_group(F.col(f"{t}_used"), i) for t in texts for i in groups}
     gathered = gathered.withColumns(parts)
-    hashes = {
-        f"{t}_hashes": subset_hashes(F.col(f"{t}_used"), [F.col(f"{t}_group{i}") for i in range(TOTAL // GROUP)], F.col(f"{t}_whole")) for t in texts
-    }
-    gathered = gathered.withColumns(hashes).drop(*parts, *(f"{t}_{x}" for t in texts for x in ("own", "used")))
-    return gathered.drop("_found", *wholes)
+    hashes = {f"{t}_hashes": F.concat(*[group_hashes(F.col(f"{t}_group{i}"), i) for i in groups]) for t in texts}
+    return gathered.withColumns(hashes).drop("_found", *parts, *(f"{t}_{x}" for t in texts for x in ("own", "used", "least")))
 
 
 def op3_i_match(spark, sf_dir: str) -> DataFrame:

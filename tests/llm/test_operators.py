@@ -285,6 +285,46 @@ def test_fingerprints(spark):
     assert all(len(v) == 1 for v in by_text.values())
 
 
+def plain_hashes(text, frequency, n):
+    """Subset hashes of one text, word by word. frequency: documents that hold a word."""
+    import xxhash
+
+    def h(*parts):
+        seed = 42
+        for part, size in parts:
+            seed = xxhash.xxh64_intdigest(part.encode() if size is None else (part % (1 << 8 * size)).to_bytes(size, "little"), seed)
+        return seed
+
+    words = sorted({w for w in re.split(r"[^\w]+|_+", text.lower()) if w})
+    terms = [w for w in words if max(2.0, fingerprints.LOW * n) <= frequency[w] <= max(2.0, fingerprints.HIGH * n)]
+    if len(terms) < fingerprints.MIN_TERMS:
+        signed = lambda w: h((w, None)) - (h((w, None)) >> 63 << 64)
+        terms = sorted(sorted(words, key=signed)[: fingerprints.LEAST])
+    out, k = [], 0
+    for count, halvings in fingerprints.SUBSETS:
+        for _ in range(count):
+            own = [w for w in terms if all(h((h((w, None)), 8), (used, 4)) >> k & 1 for used in range(halvings))]
+            out.append(f"{h((' '.join(own), None), (k, 4)):016x}"[-4:] if own else fingerprints.NO_TERMS)
+            k += 1
+    return out
+
+
+def test_fingerprints_are_those_of_a_plain_way(spark):
+    rng = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(400)]
+    texts = [" ".join(rng.choices(vocabulary, k=k)) for k in [0, 1, 5, 20, 33, 60, 200, 800] * 10]
+    # A long text of words that only its near-copies have, so many of them that none is in the band.
+    own = [f"only{i}x" for i in range(300)]
+    texts += [" ".join(own[i:]) for i in (0, 0, 0, 0, 3, 2)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    frequency = Counter(w for t in texts for w in set(t.split()))
+    got = {r["doc_id"]: r["text_hashes"] for r in fingerprints.fingerprint(docs, ["doc_id"], ["text"], fingerprints.lexicon(docs)).collect()}
+    wanted = [plain_hashes(t, frequency, len(texts)) for t in texts]
+    assert [got[i] for i in range(len(texts))] == wanted
+    pair = spark.createDataFrame([(got[len(texts) - 2], got[len(texts) - 1])], "a array<string>, b array<string>")
+    assert pair.select(fingerprints.likeness(F.col("a"), F.col("b"))).first()[0] >= 0.8
+
+
 @pytest.mark.parametrize("n", [0, 1, 23, 100])
 def test_interleaving(spark, n):
     rows = [(i, None if i % 9 == 0 else "x" * i) for i in range(n)]
