@@ -1,8 +1,9 @@
 """Bounded corrective answering of many queries.
 
 Queries move through rounds together: retrieve, grade, rewrite what found too little; then answer, verify, and answer
-anew what isn't grounded. Both loops are bounded by the settings' budgets, each round works on the queries that are
-still open only, and its state is checkpointed, so plans don't grow with the rounds.
+anew what isn't grounded. Both loops are bounded by the settings' budgets, and a limit of steps a query stands behind
+them. Each round works on the queries that are still open only, and its state is checkpointed, so plans don't grow with
+the rounds.
 """
 
 from __future__ import annotations
@@ -19,9 +20,13 @@ from . import verify as V
 
 
 def cut(df: DataFrame) -> DataFrame:
+    """Eager checkpoint in the folder that spark.checkpoint.dir names; on one machine a temporary one will do."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint()
 
 
@@ -46,6 +51,11 @@ def extra_calls(n_rewrites: Column, n_regenerations: Column) -> Column:
     return 2 * n_rewrites + n_regenerations + 1
 
 
+def steps(n_rewrites: Column, n_regenerations: Column) -> Column:
+    """Steps that a query has taken once its answer is verified: retrieve, grade and rewrite, then answer and verify."""
+    return 3 * n_rewrites + 3 * n_regenerations + 4
+
+
 def run(
     queries: DataFrame,
     retrieve: Callable[[DataFrame], DataFrame],
@@ -55,12 +65,15 @@ def run(
     grade: Callable[[DataFrame], DataFrame] = A.grades,
     rewrite: Callable[[DataFrame], DataFrame] = A.rewritten,
     ascii_only: bool = False,
+    limit: int | None = None,
 ) -> DataFrame:
     """One row per query: answer, citations, contexts, the report's figures, the counters and why it ended.
 
-    retrieve takes rows (query_id, query) and returns ranked passages with query_id, chunk_id, rank, text, rel_path,
+    limit: steps that a query may take, the settings' if not given. Queries that would pass it end as they are, without
+    an answer if they have none. retrieve takes rows (query_id, query) and returns ranked passages with query_id, chunk_id, rank, text, rel_path,
     heading_path.
     """
+    limit = settings.recursion_limit if limit is None else limit
     passage = F.struct("rank", "chunk_id", "rel_path", "heading_path", "text")
     none = F.array().cast("array<struct<rank:int,chunk_id:string,rel_path:string,heading_path:array<string>,text:string>>")
     state = queries.select("query_id", "query", F.col("query").alias("current_query"), F.lit(0).alias("n_rewrites"))
@@ -78,9 +91,13 @@ def run(
         state = cut(state.withColumn("route", route_after_grade(n, F.col("n_rewrites"), settings)))
         finished.append(state.filter("route = 'generate'"))
         state = state.filter("route = 'rewrite_query'")
+        beyond = steps(F.col("n_rewrites") + 1, F.lit(0)) > limit
+        finished.append(state.filter(beyond))
+        state = state.filter(~beyond)
         if state.isEmpty():
             break
-        asked = rewrite(state.select("query_id", "current_query", F.col("retrieved").alias("contexts")))
+        # A live client may put a query differently each time it is asked.
+        asked = cut(rewrite(state.select("query_id", "current_query", F.col("retrieved").alias("contexts"))))
         state = state.select("query_id", "query", "n_rewrites").join(asked, "query_id")
         state = state.select("query_id", "query", F.col("new_query").alias("current_query"), (F.col("n_rewrites") + 1).alias("n_rewrites"))
     ready = finished[0]
@@ -94,13 +111,18 @@ def run(
         ((F.size("relevant") < settings.min_relevant_docs) & (F.col("n_rewrites") >= settings.max_query_rewrites)).alias("rewrite_budget_exhausted"),
         F.when(F.size("relevant") > 0, F.col("relevant")).otherwise(F.col("retrieved")).alias("contexts"),
         F.lit(0).alias("n_regenerations"),
+        ((F.col("route") == "rewrite_query") | (steps(F.col("n_rewrites"), F.lit(0)) > limit)).alias("stopped"),
     )
-    done: list[DataFrame] = []
+    nothing = {"answer": F.lit(""), "citations": F.array().cast(A.CITATIONS), "n_citations": F.lit(0).cast("long"), "n_grounded": F.lit(0).cast("long"), "attribution_rate": F.lit(0.0)}
+    nothing |= {"unsupported": F.array().cast("array<string>"), "route": F.lit("stopped")}
+    done = [state.filter("stopped").drop("stopped").withColumns(nothing)]
+    state = state.filter("not stopped").drop("stopped")
     for _ in range(settings.max_regenerations + 1):
         # A live client may answer differently each time, so the answers are kept before anything is read off them.
         answered = cut(generate(state))
         reports = V.report(answered, V.checks(answered, ascii_only))
         route = route_after_verify(F.col("n_citations"), F.col("attribution_rate"), F.col("n_regenerations"), settings)
+        route = F.when((route == "regenerate") & (steps(F.col("n_rewrites"), F.col("n_regenerations") + 1) > limit), "stopped").otherwise(route)
         judged = cut(answered.join(reports, "query_id").withColumn("route", route))
         done.append(judged.filter("route <> 'regenerate'"))
         state = judged.filter("route = 'regenerate'").drop("answer", "citations", "route", "n_citations", "n_grounded", "attribution_rate", "unsupported")

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Iterable
+import os
+from collections.abc import Callable, Iterable
+from pathlib import PurePosixPath
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -16,6 +18,8 @@ from ..functions import text as T
 CUTOFFS = (1, 3, 5, 10)
 PAIRS = (("dense", "hybrid"), ("sparse", "hybrid"), ("hybrid", "hybrid_rerank"), ("dense", "hybrid_rerank"))
 METRICS = (("ndcg", 10), ("recall", 5))
+#: Places that resampling holds at once.
+PLACES = 4_000_000
 
 
 class GuardError(ValueError):
@@ -89,8 +93,11 @@ def paired_bootstrap(baseline, treatment, *, n_resamples: int = 10_000, seed: in
         raise ValueError(f"the level must lie between 0 and 1, got {ci}")
     if not (np.isfinite(a).all() and np.isfinite(b).all()):
         raise ValueError("values must be finite")
-    places = np.random.default_rng(seed).integers(0, a.size, size=(n_resamples, a.size))
-    spread = b[places].mean(axis=1) - a[places].mean(axis=1)
+    # Portions of the resamples are drawn one after the other, which gives the same numbers as all at once.
+    rng, rows, spread = np.random.default_rng(seed), max(1, PLACES // a.size), np.empty(n_resamples)
+    for at in range(0, n_resamples, rows):
+        places = rng.integers(0, a.size, size=(min(rows, n_resamples - at), a.size))
+        spread[at : at + rows] = b[places].mean(axis=1) - a[places].mean(axis=1)
     tail = 100 * (1 - ci) / 2
     low, high = np.percentile(spread, [tail, 100 - tail]).tolist()
     return {
@@ -137,15 +144,19 @@ def check_coverage(qrels: DataFrame, chunks: DataFrame, key: str = "chunk_id", s
         raise CoverageError(f"labels name what isn't indexed: {lost}")
 
 
-def check_outside(golden: str, corpus: str) -> None:
-    from pathlib import PurePosixPath
+def plain_path(path: str) -> PurePosixPath:
+    """Without links and detours where it is on this machine."""
+    local = path.removeprefix("file://") if path.startswith("file://") else path.removeprefix("file:")
+    return PurePosixPath(path if "://" in local else os.path.realpath(local))
+
 
-    if PurePosixPath(golden).is_relative_to(PurePosixPath(corpus)):
+def check_outside(golden: str, corpus: str) -> None:
+    if plain_path(golden).is_relative_to(plain_path(corpus)):
         raise LeakageError(f"labels at {golden} lie under the corpus {corpus}")
 
 
 def check_public(corpus: str, private: str) -> None:
-    if corpus.rstrip("/") == private.rstrip("/"):
+    if plain_path(corpus) == plain_path(private):
         raise LeakageError(f"{corpus} is the private corpus")
 
 
@@ -165,13 +176,21 @@ def faithfulness(answers: DataFrame, threshold: float = 0.5) -> DataFrame:
     return sums.withColumn("faithfulness", T.faithfulness(F.col("n_supported"), F.col("n_statements")))
 
 
-def relevancy(answers: DataFrame, n: int = 3, dim: int = 256) -> DataFrame:
-    """query_id, relevancy, noncommittal, n_questions: mean cosine of the query and questions templated from its answer."""
+def relevancy(answers: DataFrame, n: int = 3, dim: int = 256, questions: DataFrame | None = None, embedded: Callable[[Column], Column] | None = None) -> DataFrame:
+    """query_id, relevancy, noncommittal, n_questions: mean cosine of the query and questions that its answer would answer.
+
+    questions: query_id, questions, noncommittal as a model gives them; without them they are templated from the answer.
+    embedded: the vector of a text, by feature hashing if not given.
+    """
     from .index import hashed_embedding
 
-    rows = answers.select("query_id", "query", T.noncommittal(F.col("answer")).alias("noncommittal"), T.templated_questions(F.col("answer"), n).alias("q"))
-    rows = rows.withColumn("q", F.when(F.col("noncommittal"), F.array().cast("array<string>")).otherwise(F.col("q"))).withColumn("v", hashed_embedding(F.col("query"), dim))
-    asked = rows.select("query_id", "v", F.explode("q").alias("q")).select("query_id", T.cosine(F.col("v"), hashed_embedding(F.col("q"), dim)).alias("c"))
+    vector = embedded or (lambda text: hashed_embedding(text, dim))
+    if questions is None:
+        rows = answers.select("query_id", "query", T.noncommittal(F.col("answer")).alias("noncommittal"), T.templated_questions(F.col("answer"), n).alias("q"))
+    else:
+        rows = answers.select("query_id", "query").join(questions.select("query_id", "noncommittal", F.col("questions").alias("q")), "query_id")
+    rows = rows.withColumn("q", F.when(F.col("noncommittal"), F.array().cast("array<string>")).otherwise(F.col("q"))).withColumn("v", vector(F.col("query")))
+    asked = rows.select("query_id", "v", F.explode("q").alias("q")).select("query_id", T.cosine(F.col("v"), vector(F.col("q"))).alias("c"))
     means = asked.groupBy("query_id").agg(F.avg("c").alias("c"))
     return rows.join(means, "query_id", "left").select("query_id", F.coalesce("c", F.lit(0.0)).alias("relevancy"), "noncommittal", F.size("q").alias("n_questions"))
 
@@ -205,20 +224,29 @@ def recall_of_contexts(results: DataFrame, qrels: DataFrame, cutoffs: Iterable[i
     return metrics(ranking, qrels, cutoffs).select("query_id", "k", "recall")
 
 
-def corrective_ab(plain: DataFrame, corrected: DataFrame, references: DataFrame) -> DataFrame:
-    """One row per query with both arms side by side. references: query_id, reference (or null)."""
+def corrective_ab(plain: DataFrame, corrected: DataFrame, references: DataFrame, judge: Callable | None = None) -> DataFrame:
+    """One row per query with both arms side by side. references: query_id, reference (or null).
+
+    judge makes a model that says whether an answer is correct; it isn't told which arm an answer is of. Without it the
+    words that answer and reference share decide.
+    """
+    from . import live
     from .corrective import trace
 
     ids = F.transform("contexts", lambda c: c["chunk_id"])
-    a = plain.select("query_id", ids.alias("a_ids"), F.col("answer").alias("a_answer"), F.col("attribution_rate").alias("a_rate"), F.col("n_citations").alias("a_n"), F.col("n_grounded").alias("a_good"))
+    a = plain.select("query_id", "query", ids.alias("a_ids"), F.col("answer").alias("a_answer"), F.col("attribution_rate").alias("a_rate"), F.col("n_citations").alias("a_n"), F.col("n_grounded").alias("a_good"))
     b = trace(corrected).select(
         "query_id", ids.alias("b_ids"), F.col("answer").alias("b_answer"), F.col("attribution_rate").alias("b_rate"), F.col("n_citations").alias("b_n"), F.col("n_grounded").alias("b_good"),
         "activated", "n_rewrites", "n_regenerations", "final_query_changed", "terminated_reason", "rewrite_budget_exhausted", "extra_llm_calls",
     )
     rows = a.join(b, "query_id").join(references, "query_id", "left").withColumn("contexts_identical", F.col("a_ids") == F.col("b_ids"))
     for arm in "ab":
-        rows = judged(rows.withColumn("candidate", F.col(f"{arm}_answer"))).withColumnRenamed("lexical_f1", f"{arm}_f1").withColumnRenamed("correct", f"{arm}_correct").drop("candidate")
-    return rows
+        rows = judged(rows.withColumn("candidate", F.col(f"{arm}_answer")))
+        if judge:
+            told = live.is_yes(live.ask(live.judge_prompt(F.col("query"), F.col("reference"), F.col("candidate")), judge))
+            rows = rows.withColumn("correct", F.when(F.col("lexical_f1").isNotNull(), told))
+        rows = rows.withColumnRenamed("lexical_f1", f"{arm}_f1").withColumnRenamed("correct", f"{arm}_correct").drop("candidate")
+    return rows.drop("query")
 
 
 def corrective_rollup(ab: DataFrame) -> DataFrame:

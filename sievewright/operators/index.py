@@ -132,14 +132,6 @@ def fingerprint(chunks: DataFrame) -> str:
     return total.hexdigest()
 
 
-def fingerprint_small(chunks: DataFrame) -> DataFrame:
-    """The same as a one-row query, for corpora that fit in one row."""
-    each = F.concat(F.col("s.chunk_id"), F.lit("\x00"), F.length("s.text").cast("string"), F.lit("\x00"), F.col("s.text"), F.lit("\x01"))
-    one = chunks.select(F.struct("chunk_id", "text").alias("s")).select(F.struct(F.col("s.chunk_id").alias("id"), F.col("s.text").alias("x"), each.alias("e")).alias("r"))
-    rows = one.agg(F.sort_array(F.collect_list("r")).alias("r"))
-    return rows.select(F.sha2(F.array_join(F.transform("r", lambda x: x["e"]), ""), 256).alias("corpus_sha256"))
-
-
 # Stores
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import answer as A
-from ..operators import chunking, corrective, evaluate, index, live, retrieve
+from ..operators import chunking, corrective, evaluate, index, live, reports, retrieve
 from ..operators import verify as V
 from ..settings import Settings
 from ..sources import files
@@ -49,10 +49,18 @@ class Engine:
         generate: Callable[[DataFrame], DataFrame] = A.offline,
         embedders: dict[str, Callable] | None = None,
         reranker: str | Callable = "lexical",
+        models: dict[str, Callable] | None = None,
     ):
-        """embedders: makers of models by the names that settings.embedding_model may have; reranker: see retrieve.hybrid."""
+        """embedders: makers of models by the names that settings.embedding_model may have; reranker: see retrieve.hybrid.
+
+        models: makers of language models by what they do: "corrector" (grades passages and rewrites queries), "judge",
+        "scorer" (of faithfulness and relevancy). Offline stand-ins do what isn't there.
+        """
         self.spark, self.settings, self.generate = spark, settings or Settings(), generate
-        self.embedders, self.reranker = embedders, reranker
+        self.embedders, self.reranker, self.models = embedders, reranker, models or {}
+        unknown = set(self.models) - {"corrector", "judge", "scorer"}
+        if unknown:
+            raise ValueError(f"no such part of the work: {', '.join(sorted(unknown))}")
         self._loaded: tuple[DataFrame, DataFrame, index.Bm25] | None = None
 
     def embedded(self, text: Column) -> Column:
@@ -73,8 +81,8 @@ class Engine:
         index.write_bm25(fitted, f"{folder}/bm25")
         fitted.postings.unpersist()
         meta = self.meta(docs, chunks)
-        self._put(f"{folder}/meta.json", json.dumps(meta, ensure_ascii=False, indent=2, sort_keys=True))
-        self._put(f"{s.index_dir}/current", folder)
+        files.put(spark, f"{folder}/meta.json", json.dumps(meta, ensure_ascii=False, indent=2, sort_keys=True))
+        files.put(spark, f"{s.index_dir}/current", folder)
         self._loaded = None
         return meta
 
@@ -93,20 +101,13 @@ class Engine:
             "library_versions": versions(),
         }
 
-    def _path(self, path: str):
-        jpath = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return jpath.getFileSystem(self.spark._jsc.hadoopConfiguration()), jpath
-
-    def _put(self, path: str, content: str) -> None:
-        fs, jpath = self._path(path)
-        stream = fs.create(jpath, True)
-        stream.write(bytearray(content.encode()))
-        stream.close()
-
     def current(self) -> str | None:
-        path = f"{self.settings.index_dir}/current"
-        fs, jpath = self._path(path)
-        return self.spark.read.text(path, wholetext=True).first()[0].strip() if fs.exists(jpath) else None
+        return files.get(self.spark, f"{self.settings.index_dir}/current")
+
+    def recorded(self) -> dict:
+        """What the last build recorded; nothing before the first."""
+        folder = self.current()
+        return json.loads(files.get(self.spark, f"{folder}/meta.json")) if folder else {}
 
     # Answering
 
@@ -150,7 +151,15 @@ class Engine:
         return A.events(self.ask(query, k)).orderBy("seq")
 
     def correct(self, queries: DataFrame, k: int | None = None) -> DataFrame:
-        return corrective.run(queries, lambda q: self.retrieve(q, k), self.settings, generate=self.generate)
+        make = self.models.get("corrector")
+        if make is None:
+            return corrective.run(queries, lambda q: self.retrieve(q, k), self.settings, generate=self.generate)
+
+        def rewrite(rows: DataFrame) -> DataFrame:
+            asked = rows.select("query_id", F.col("current_query").alias("query"))
+            return live.rewritten(asked, make).select("query_id", F.col("query").alias("new_query"))
+
+        return corrective.run(queries, lambda q: self.retrieve(q, k), self.settings, generate=self.generate, grade=lambda found: live.graded(found, make), rewrite=rewrite)
 
     def health(self) -> dict:
         return {"status": "ok", "index": self.current()}
@@ -188,16 +197,84 @@ class Engine:
             "comparisons": evaluate.comparisons(ordered, n_resamples=s.resamples, seed=s.seed, order="golden_idx"),
         }
 
+    def attributed(self, queries: DataFrame) -> DataFrame:
+        """The report on the citations of each query's answer."""
+        return corrective.cut(self.answer(queries).select("query_id", "n_citations", "n_grounded", "attribution_rate", "unsupported"))
+
     def evaluate_attribution(self, queries: DataFrame) -> DataFrame:
-        return V.rollup(self.answer(queries))
+        return V.rollup(self.attributed(queries))
+
+    def quality(self, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Faithfulness and relevancy by query, by the scorer if there is one."""
+        s, make = self.settings, self.models.get("scorer")
+        answers = corrective.cut(self.answer(queries).withColumn("context", F.array_join(F.transform("contexts", lambda c: c["text"]), "\n\n")))
+        asked = corrective.cut(live.questions(answers, s.n_questions, make)) if make else None
+        faith = live.faithfulness(answers, make) if make else evaluate.faithfulness(answers)
+        relevance = evaluate.relevancy(answers, s.n_questions, s.embedding_dim, asked, self.embedded)
+        return corrective.cut(faith), corrective.cut(relevance)
 
     def evaluate_quality(self, queries: DataFrame) -> DataFrame:
-        answers = self.answer(queries).withColumn("context", F.array_join(F.transform("contexts", lambda c: c["text"]), "\n\n"))
-        return evaluate.quality_rollup(evaluate.faithfulness(answers), evaluate.relevancy(answers, self.settings.n_questions, self.settings.embedding_dim))
+        return evaluate.quality_rollup(*self.quality(queries))
 
     def evaluate_corrective(self, golden: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Both arms by query, and their summary."""
         queries = golden.select("query_id", "query")
         references = golden.select("query_id", F.col("reference_answer").alias("reference"))
-        ab = corrective.cut(evaluate.corrective_ab(self.answer(queries), self.correct(queries), references))
+        plain, better = corrective.cut(self.answer(queries)), corrective.cut(self.correct(queries))
+        ab = corrective.cut(evaluate.corrective_ab(plain, better, references, self.models.get("judge")))
         return ab, evaluate.corrective_rollup(ab)
+
+    # Reporting
+
+    def backends(self) -> dict[str, reports.Backend]:
+        """What does each part of the work. A stand-in with other arguments is a stand-in still."""
+        s = self.settings
+        made_by = getattr(self.generate, "func", self.generate)
+        chosen = self.reranker if s.use_reranker else "identity"
+        found = {
+            "generator": reports.Backend(getattr(made_by, "__name__", type(made_by).__name__), made_by is not A.offline),
+            "embedder": reports.Backend(s.embedding_model, s.embedding_model != "hashing"),
+            "reranker": reports.Backend(getattr(chosen, "__name__", str(chosen)), callable(chosen)),
+        }
+        for part in ("corrector", "judge", "scorer"):
+            make = self.models.get(part)
+            found[part] = reports.Backend(getattr(make, "__name__", str(make)) if make else "offline", make is not None)
+        return found
+
+    def report(self, kind: str, golden_path: str) -> reports.Report:
+        """An evaluation of one kind (retrieval, attribution, quality, corrective) with where its figures come from.
+
+        The labels must lie outside of the corpus and name what is indexed, and the corpus must not be the private one.
+        """
+        if kind not in reports.FILES:
+            raise ValueError(f"unknown kind of report {kind!r}; there are {', '.join(reports.FILES)}")
+        s = self.settings
+        evaluate.check_outside(golden_path, s.corpus_dir)
+        if s.private_corpus_dir:
+            evaluate.check_public(s.corpus_dir, s.private_corpus_dir)
+        golden = files.read_golden(self.spark, golden_path)
+        qrels = golden.select("query_id", F.explode("relevant_chunk_ids").alias("chunk_id"))
+        evaluate.check_coverage(qrels, self.load()[0])
+        queries = golden.select("query_id", "query")
+        if kind == "retrieval":
+            found = self.evaluate(golden)
+            sections = {"macro": found["macro"], "comparisons": found["comparisons"], "per_query": found["per_query"]}
+        elif kind == "attribution":
+            each = self.attributed(queries)
+            sections = {"summary": V.rollup(each), "per_query": each}
+        elif kind == "quality":
+            faith, relevance = self.quality(queries)
+            sections = {"summary": evaluate.quality_rollup(faith, relevance), "per_query": faith.join(relevance, "query_id")}
+        else:
+            ab, summary = self.evaluate_corrective(golden)
+            recalls = None
+            for arm in "ab":
+                contexts = ab.select("query_id", F.transform(f"{arm}_ids", lambda i: F.struct(i.alias("chunk_id"))).alias("contexts"))
+                part = evaluate.recall_of_contexts(contexts, qrels).groupBy("k").agg(F.avg("recall").alias(f"{arm}_recall"))
+                recalls = part if recalls is None else recalls.join(part, "k")
+            sections = {"summary": summary, "recall": recalls, "reasons": evaluate.reasons(ab), "per_query": ab.drop("reference")}
+        header = reports.provenance(kind, s, self.recorded(), self.backends(), golden.count())
+        return reports.Report(kind, header, sections)
+
+    def write_report(self, kind: str, golden_path: str) -> str:
+        return self.report(kind, golden_path).write(self.spark, self.settings.eval_dir)

@@ -6,6 +6,8 @@ rounded on both sides, and every ranking has an order without ties.
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -81,7 +83,8 @@ def chunk_catalogue(spark, d):
 
 
 def corpus_fingerprint(spark, d):
-    return index.fingerprint_small(table(spark, d, "benchmark").select(F.lpad(F.col("item_id").cast("string"), 12, "0").alias("chunk_id"), "text"))
+    """Over all chunks of all documents; they are streamed through the one running hash, never gathered."""
+    return spark.createDataFrame([(index.fingerprint(chunks_of(spark, d, "fixed")),)], "corpus_sha256 string")
 
 
 # Tokens and indexes
@@ -292,6 +295,34 @@ def quoted(spark, d):
     return docs.select("doc_id", F.coalesce(quote, F.lit("")).alias("quote"), F.when(F.col("doc_id") % 11 != 0, F.col("text")).alias("chunk"))
 
 
+def quoted_whole(spark, d):
+    """Quotes of the unchanged texts: raised to capitals, out of order, with white space drawn out, made up, or of decomposed letters."""
+    kind = F.col("doc_id") % 5
+    words = F.split("text", r"\s+")
+    quote = (
+        F.when(kind == 0, F.translate(F.substring("text", 1, 80), ascii_lowercase, ascii_uppercase))
+        .when(kind == 1, F.array_join(F.reverse(F.slice(words, 1, 8)), " "))
+        .when(kind == 2, F.array_join(F.slice(words, 3, 12), " \n "))
+        .when(kind == 3, F.concat(F.array_join(F.slice(words, 3, 6), " "), F.lit(" zzqxv wzzqxv")))
+        .otherwise(F.replace(F.array_join(F.slice(words, 1, 20), " "), F.lit("\u00e9"), F.lit("e\u0301")))
+    )
+    return table(spark, d, "documents").select("doc_id", F.coalesce(quote, F.lit("")).alias("quote"), F.when(F.col("doc_id") % 11 != 0, F.col("text")).alias("chunk"))
+
+
+def grounding_verdicts_whole(spark, d):
+    return V.verdicts(quoted_whole(spark, d)).select("doc_id", F.col("verdict.grounded").alias("grounded"), F.col("verdict.method").alias("method"))
+
+
+def attribution_report(spark, d):
+    """One answer for every 40th doc_id's remainder: its citations are the quotes, its contexts the texts that are in it."""
+    rows = quoted_whole(spark, d).withColumn("query_id", F.col("doc_id") % 40)
+    passage = F.when(F.col("chunk").isNotNull(), F.struct(F.col("doc_id").cast("string").alias("chunk_id"), F.col("chunk").alias("text")))
+    cited = F.struct("doc_id", F.col("doc_id").cast("string").alias("chunk_id"), F.col("quote").alias("supporting_quote"))
+    answers = rows.groupBy("query_id").agg(F.sort_array(F.collect_list(cited)).alias("citations"), F.collect_list(passage).alias("contexts"))
+    out = V.report(answers, V.checks(answers))
+    return out.select("query_id", "n_citations", "n_grounded", r6(F.col("attribution_rate")).alias("attribution_rate"), F.array_join("unsupported", ",").alias("unsupported"))
+
+
 def grounding_verdicts(spark, d):
     return V.verdicts(quoted(spark, d), ascii_only=True).select("doc_id", F.col("verdict.grounded").alias("grounded"), F.col("verdict.method").alias("method"))
 
@@ -366,8 +397,11 @@ def wikilinks(spark, d):
 
 
 def heading_levels(spark, d):
-    lines = marked_up(spark, d).select("doc_id", F.explode(F.split("body", "\n")).alias("line"))
-    return lines.groupBy("doc_id").agg(F.sum(T.heading_level(F.col("line"))).cast("long").alias("levels"))
+    """Each word of a text is a line, behind as many blanks, marks and blanks as its place says."""
+    i = F.col("i")
+    line = F.concat(F.repeat(F.lit(" "), i % 5), F.repeat(F.lit("#"), i % 9), F.repeat(F.lit(" "), i % 2), F.col("w"))
+    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", r"\s+")).alias("i", "w")).withColumn("level", T.heading_level(line))
+    return lines.groupBy("doc_id").agg(F.sum("level").cast("long").alias("levels"), F.count_if(F.col("level") > 0).alias("n_headings"))
 
 
 def templated_questions(spark, d):
@@ -508,6 +542,20 @@ v AS (SELECT doc_id, CASE WHEN chunk IS NULL THEN 'chunk_not_in_context' WHEN nq
   WHEN NOT list_has_any({SHINGLES.format('cq')}, {SHINGLES.format('cc')}) THEN 'no_overlap' ELSE 'token_overlap' END AS method FROM p)"""
 
 
+FOLDED = "trim(regexp_replace(replace(lower(nfc_normalize({0})), 'ß', 'ss'), '[\\s\\p{{Z}}\\x0b\\x1c-\\x1f\\x85]+', ' ', 'g'))"
+QUOTED_WHOLE = f"""w AS (SELECT doc_id, text, regexp_split_to_array(text, '[\\s\\x0b]+') AS w FROM documents),
+qd AS (SELECT doc_id, coalesce(CASE doc_id % 5 WHEN 0 THEN translate(substr(text, 1, 80), '{ascii_lowercase}', '{ascii_uppercase}') WHEN 1 THEN array_to_string(list_reverse(w[1:8]), ' ')
+  WHEN 2 THEN array_to_string(w[3:14], ' ' || chr(10) || ' ') WHEN 3 THEN array_to_string(w[3:8], ' ') || ' zzqxv wzzqxv'
+  ELSE replace(array_to_string(w[1:20], ' '), chr(233), 'e' || chr(769)) END, '') AS quote, CASE WHEN doc_id % 11 <> 0 THEN text END AS chunk FROM w),
+n0 AS (SELECT doc_id, chunk, {FOLDED.format('quote')} AS nq, {FOLDED.format('chunk')} AS nc FROM qd),
+n AS (SELECT *, {tok('nq')} AS tq, {tok('nc')} AS tc FROM n0),
+p AS (SELECT *, list_distinct(tq) AS own, len(list_intersect(list_distinct(tq), list_distinct(tc))) AS present, {CONTENT.format('tq')} AS cq, {CONTENT.format('tc')} AS cc FROM n),
+v AS (SELECT doc_id, CASE WHEN chunk IS NULL THEN 'chunk_not_in_context' WHEN nq = '' THEN 'no_overlap' WHEN contains(nc, nq) THEN 'normalized_substring'
+  WHEN len(own) = 0 THEN 'no_overlap' WHEN present / len(own)::DOUBLE < 0.6 THEN 'no_overlap'
+  WHEN NOT list_has_any({SHINGLES.format('cq')}, {SHINGLES.format('cc')}) THEN 'no_overlap' ELSE 'token_overlap' END AS method FROM p),
+g AS (SELECT doc_id, method, method IN ('normalized_substring', 'token_overlap') AS grounded FROM v)"""
+
+
 def norm_vec(name: str, source: str, key: str) -> str:
     """key, bucket, w of normalized hashed vectors of source (key, x)."""
     return f"""{name}0 AS (SELECT {key}, bucket, sum(sign) AS w FROM (SELECT {key}, {SLOT} FROM (SELECT {key}, unnest({tok('x')}) AS t FROM {source})) GROUP BY ALL HAVING sum(sign) <> 0),
@@ -541,7 +589,7 @@ SQL = {
     "chunk_catalogue": f"WITH {chunk_sql()} SELECT {CHUNK_ID} || chr(9) || rel_path || chr(9) || ordinal || chr(9) || regexp_replace(substr(x, 1, 40), '\\s+', ' ', 'g') AS line FROM c",
     "point_ids": f"""WITH h AS (SELECT doc_id, sha1(unhex('{T.POINT_NAMESPACE}') || encode(substr(sha256('documents/' || doc_id), 1, 16))) AS h FROM documents)
 SELECT doc_id AS source_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || ['8', '9', 'a', 'b'][('0x' || substr(h, 17, 1))::INT % 4 + 1] || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS point_id FROM h""",
-    "corpus_fingerprint": "SELECT sha256(string_agg(id || chr(0) || length(text) || chr(0) || text || chr(1), '' ORDER BY id)) AS corpus_sha256 FROM (SELECT lpad(item_id::VARCHAR, 12, '0') AS id, text FROM benchmark)",
+    "corpus_fingerprint": f"WITH {chunk_sql()} SELECT sha256(string_agg(id || chr(0) || length(x) || chr(0) || x || chr(1), '' ORDER BY id, x)) AS corpus_sha256 FROM (SELECT {CHUNK_ID} AS id, x FROM c)",
     "token_counts": f"SELECT doc_id, len({tok('text')}) AS n_tokens, len(list_distinct({tok('text')})) AS n_distinct FROM documents",
     "term_frequencies": f"WITH {POSTINGS} SELECT t AS term, count(*) AS df, sum(tf)::BIGINT AS cf FROM post GROUP BY t",
     "bm25_stats": f"WITH {POSTINGS} SELECT any_value(n) AS n, round(any_value(avgdl), 6) AS avgdl, count(*) AS n_terms, round(sum(idf), 6) AS sum_idf, count(*) FILTER (WHERE df > n / 2) AS n_raised FROM idf, st",
@@ -571,6 +619,9 @@ SELECT doc_id AS source_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' ||
 round(coalesce(avg(faithfulness) FILTER (WHERE n_statements > 0), 0), 6) AS macro_faithfulness_answered, count(*) FILTER (WHERE n_statements = 0) AS n_faith_abstained, round(avg(relevancy), 6) AS macro_relevancy,
 round(coalesce(avg(relevancy) FILTER (WHERE NOT noncommittal), 0), 6) AS committal_relevancy, count(*) FILTER (WHERE noncommittal) AS n_noncommittal FROM fv JOIN rel USING (query_id)""",
     "grounding_verdicts": f"WITH {QUOTED} SELECT doc_id, method IN ('normalized_substring', 'token_overlap') AS grounded, method FROM v",
+    "grounding_verdicts_whole": f"WITH {QUOTED_WHOLE} SELECT doc_id, grounded, method FROM g",
+    "attribution_report": f"""WITH {QUOTED_WHOLE} SELECT doc_id % 40 AS query_id, count(*) AS n_citations, count(*) FILTER (WHERE grounded) AS n_grounded, round(count(*) FILTER (WHERE grounded) / count(*)::DOUBLE, 6) AS attribution_rate,
+coalesce(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) FILTER (WHERE NOT grounded), '') AS unsupported FROM g GROUP BY 1""",
     "attribution_rollup": f"""WITH {QUOTED}, r AS (SELECT doc_id % 40 AS query_id, count(*) AS n, count(*) FILTER (WHERE method IN ('normalized_substring', 'token_overlap')) AS g FROM v GROUP BY 1)
 SELECT count(*) AS n_queries, sum(n)::BIGINT AS n_citations, sum(g)::BIGINT AS n_grounded, round(sum(g) / sum(n)::DOUBLE, 6) AS micro, round(avg(g / n::DOUBLE), 6) AS macro, round(avg(g / n::DOUBLE), 6) AS macro_answered, 0::BIGINT AS n_abstained FROM r""",
     "grounding_prompt": f"""{reranked_sql(K)} SELECT query_id::VARCHAR AS query_id, md5('{PROMPT}' || {NL2} || 'Context passages:' || {NL2} ||
@@ -583,7 +634,8 @@ SELECT query_id::VARCHAR AS query_id, query || ' ' || t AS new_query FROM n QUAL
     "extra_llm_calls": "SELECT (l_linenumber % 3)::BIGINT AS r, (l_orderkey % 2)::BIGINT AS g, sum(2 * (l_linenumber % 3) + l_orderkey % 2 + 1)::BIGINT AS calls, count(*) AS n FROM lineitem GROUP BY 1, 2",
     "inline_tags": f"WITH {MARKED} SELECT doc_id, array_to_string(list_sort(list_distinct([a || '/' || b, c])), ',') AS tags FROM mk",
     "wikilinks": f"WITH {MARKED} SELECT doc_id, array_to_string(list_sort(list_distinct([a, c])), ',') AS targets, md5(replace(replace(body, '[[' || a || '|' || b || ']]', b), '![[' || c || '#part]]', c || '#part')) AS rendered_md5 FROM mk",
-    "heading_levels": "SELECT doc_id, 3::BIGINT AS levels FROM documents",
+    "heading_levels": """WITH w AS (SELECT doc_id, unnest(range(len(regexp_split_to_array(text, '[\\s\\x0b]+')))) AS i FROM documents), l AS (SELECT doc_id, CASE WHEN i % 5 < 4 AND i % 9 < 7 AND i % 2 = 1 THEN i % 9 ELSE 0 END AS level FROM w)
+SELECT doc_id, sum(level)::BIGINT AS levels, count(*) FILTER (WHERE level > 0) AS n_headings FROM l GROUP BY doc_id""",
     "templated_questions": f"SELECT conv_id, turn, md5(CASE WHEN len({tok('text')}) = 0 THEN '' ELSE array_to_string(list_transform(['what', 'how', 'why'], lambda h: h || ' ' || array_to_string({tok('text')}, ' ')), '|') END) AS questions_md5 FROM conversations",
     "event_windows": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
 }

@@ -9,6 +9,7 @@ from dataclasses import dataclass, fields, replace
 @dataclass(frozen=True)
 class Settings:
     corpus_dir: str = "data/corpus"
+    private_corpus_dir: str = ""
     index_dir: str = "data/index"
     eval_dir: str = "data/eval"
     chunk_strategy: str = "recursive"

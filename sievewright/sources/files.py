@@ -44,15 +44,15 @@ def _binary_text(kinds: pd.Series, contents: pd.Series) -> pd.Series:
                 from docx import Document
 
                 return "\n\n".join(p.text for p in Document(io.BytesIO(content)).paragraphs if p.text.strip())
-        except ImportError as missing:
-            log.warning("skipped a %s file: %s", kind, missing)
+        except Exception as fault:  # no reader, or any of what readers raise at damaged files
+            log.warning("skipped a %s file: %r", kind, fault)
         return None
 
     return pd.Series([one(k, c) for k, c in zip(kinds, contents, strict=True)], dtype=object)
 
 
 def binary_text(kind: str, content: str) -> Column:
-    """Text of PDF and DOCX files, or null where there is no reader for them."""
+    """Text of PDF and DOCX files, or null where there is no reader for them or they are damaged."""
     return F.pandas_udf(_binary_text, "string")(kind, content)
 
 
@@ -125,14 +125,13 @@ def with_corpus_index(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("corpus_idx", F.struct(F.split("rel_path", "/").alias("path"), F.col("ordinal")))
 
 
-def read_golden(spark: SparkSession, path: str) -> DataFrame:
-    """golden_idx, query_id, query, relevant_chunk_ids, reference_answer, in the file's order. Any fault is an error.
+GOLDEN = "golden_idx int, query_id string, query string, relevant_chunk_ids array<string>, reference_answer string"
 
-    A golden set is a small hand-made file, so it is read whole, and errors name the line.
-    """
-    lines = (spark.read.text(path, wholetext=True).first() or [""])[0].splitlines()
-    rows, seen = [], {}
-    for number, line in enumerate(lines, 1):
+
+def parse_golden(text: str) -> tuple[list[tuple], list[str]]:
+    """The rows without faults, and all faults by line."""
+    rows, faults, seen = [], [], {}
+    for number, line in enumerate(text.splitlines(), 1):
         if not line.strip():
             continue
         try:
@@ -140,16 +139,80 @@ def read_golden(spark: SparkSession, path: str) -> DataFrame:
             ids = item["relevant_chunk_ids"]
             row = (len(rows), str(item["query_id"]), str(item["query"]), [str(x) for x in ids], item.get("reference_answer"))
         except (ValueError, KeyError, TypeError) as fault:
-            raise ValueError(f"{path}, line {number}: {fault!r}") from fault
+            faults.append(f"line {number}: {fault!r}")
+            continue
         if not ids or len(set(ids)) < len(ids):
-            raise ValueError(f"{path}, line {number}: relevant ids must be some, and each once")
-        if row[1] in seen:
-            raise ValueError(f"{path}, line {number}: query {row[1]} is on line {seen[row[1]]} already")
-        seen[row[1]] = number
-        rows.append(row)
-    if not rows:
-        raise ValueError(f"{path} has no queries")
-    return spark.createDataFrame(rows, "golden_idx int, query_id string, query string, relevant_chunk_ids array<string>, reference_answer string")
+            faults.append(f"line {number}: relevant ids must be some, and each once")
+        elif row[1] in seen:
+            faults.append(f"line {number}: query {row[1]} is on line {seen[row[1]]} already")
+        else:
+            seen[row[1]] = number
+            rows.append(row)
+    if not rows and not faults:
+        faults.append("no queries")
+    return rows, faults
+
+
+def read_golden(spark: SparkSession, path: str) -> DataFrame:
+    """golden_idx, query_id, query, relevant_chunk_ids, reference_answer, in the file's order. Any fault is an error.
+
+    A golden set is a small hand-made file, so it is read whole, and errors name the line.
+    """
+    rows, faults = parse_golden(get(spark, path) or "")
+    if faults:
+        raise ValueError(f"{path}, {faults[0]}")
+    return spark.createDataFrame(rows, GOLDEN)
+
+
+def golden_faults(spark: SparkSession, path: str, chunks: DataFrame) -> list[str]:
+    """Every fault of a golden set: of its lines, then labels that name no chunk. None means that it is valid."""
+    rows, faults = parse_golden(get(spark, path) or "")
+    labels = spark.createDataFrame(rows, GOLDEN).select("golden_idx", "query_id", F.explode("relevant_chunk_ids").alias("chunk_id"))
+    lost = labels.join(chunks.select("chunk_id"), "chunk_id", "left_anti").groupBy("golden_idx", "query_id").agg(F.sort_array(F.collect_list("chunk_id")).alias("ids"))
+    return faults + [f"query {r['query_id']}: no chunk {', '.join(r['ids'])}" for r in lost.orderBy("golden_idx").collect()]
+
+
+def review_golden(golden: DataFrame, chunks: DataFrame) -> DataFrame:
+    """golden_idx, query_id, query, reference_answer, pos, chunk_id, rel_path, snippet of each label, to be read by eye.
+
+    The snippet is the whole passage on one line; it and rel_path are null where there is no such chunk.
+    """
+    labels = golden.select("golden_idx", "query_id", "query", "reference_answer", F.posexplode("relevant_chunk_ids").alias("pos", "chunk_id"))
+    snippet = F.trim(F.regexp_replace("text", r"(?U)\s+", " ")).alias("snippet")
+    return labels.join(chunks.select("chunk_id", "rel_path", snippet), "chunk_id", "left").select(*labels.columns, "rel_path", "snippet")
+
+
+# Small files
+
+
+def _at(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def put(spark: SparkSession, path: str, content: str) -> None:
+    fs, place = _at(spark, path)
+    stream = fs.create(place, True)
+    stream.write(bytearray(content.encode()))
+    stream.close()
+
+
+def get(spark: SparkSession, path: str) -> str | None:
+    """A small file's text, or None where there is none."""
+    fs, place = _at(spark, path)
+    if not fs.exists(place):
+        return None
+    row = spark.read.text(path, wholetext=True).first()
+    return row[0] if row else ""
+
+
+def delete_others(spark: SparkSession, folder: str, kept: set[str | None]) -> None:
+    """Deletes the folders within a folder, but for those kept."""
+    fs, place = _at(spark, folder)
+    names = {k.rstrip("/").rsplit("/", 1)[-1] for k in kept if k}
+    for status in fs.listStatus(place):
+        if status.isDirectory() and status.getPath().getName() not in names:
+            fs.delete(status.getPath(), True)
 
 
 def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
