@@ -265,6 +265,29 @@ def test_near_vectors_between_tight_groups(spark):
     assert sorted(tuple(r) for r in nn_descent.near_vectors(df, block=128).collect()) == wanted
 
 
+def test_neighbour_lists_lead_to_links(spark, monkeypatch):
+    """Many small groups far apart in one label: the lists alone find their links, and the audit measures that."""
+    rng = np.random.default_rng(12)
+    centres = rng.standard_normal((150, 24))
+    x = centres[rng.integers(0, 150, 1500)] + rng.standard_normal((1500, 24)) * 0.07
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    y = x / np.linalg.norm(x, axis=1, keepdims=True)
+    linked = y @ y.T >= 0.98
+    np.fill_diagonal(linked, False)
+    shares, every, share_found = [], [], nn_descent.share_found
+    monkeypatch.setattr(nn_descent, "every_pair", lambda blocks: every.append(1))
+    monkeypatch.setattr(nn_descent, "share_found", lambda found, truth: shares.append(share_found(found, truth)) or shares[-1])
+    got = {r["vec_id"]: r["n_links"] for r in nn_descent.near_vectors(df, block=64).collect()}
+    assert not every and shares[-1] >= nn_descent.GOAL
+    assert all(got[i] <= linked[i].sum() for i in range(1500)) and sum(got.values()) >= 0.99 * linked.sum()
+    blocks = spark.createDataFrame([(i % 7, "a", i, 1 + i % 2, v.astype("<f8").tobytes()) for i, v in enumerate(x[:200])], "block long, label string, node long, copies long, vec binary")
+    told: Counter = Counter()
+    for r in nn_descent.audit(blocks, 0.98, 5, 50).collect():
+        assert r["i"] == r["u"] % 7 and r["n"] == sum(1 + k % 2 for k in np.flatnonzero(linked[r["u"], :200]) if k % 7 == r["j"])
+        told[r["u"]] += r["n"]
+    assert sum(told.values()) > 0 and all(told[u] == sum(1 + k % 2 for k in np.flatnonzero(linked[u, :200])) for u in told)
+
+
 def test_components(spark):
     links = spark.createDataFrame([(1, 2), (2, 3), (9, 8), (3, 30), (30, 7), (5, 5)], "a long, b long")
     assert {tuple(r) for r in graph.components(links).collect()} == {(1, 1), (2, 1), (3, 1), (30, 1), (7, 1), (8, 8), (9, 8)}
