@@ -1,4 +1,4 @@
-"""Text functions as columns; all but normalize() and nfc_tokens() stay in the JVM."""
+"""Text functions as columns; all but normalize() stay in the JVM."""
 
 from __future__ import annotations
 
@@ -74,16 +74,6 @@ def normalize_ascii(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
 
 
-def _token_batches(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for s in values:
-        yield s.map(lambda t: [x for x in re.split(r"[^a-z0-9]+", unicodedata.normalize("NFC", t).casefold()) if x], na_action="ignore")
-
-
-def nfc_tokens(text: Column) -> Column:
-    """tokens() of the composed and case-folded text."""
-    return F.pandas_udf(_token_batches, "array<string>")(text)
-
-
 def content_shingles(words: Column, n: int = RUN) -> Column:
     """Distinct runs of n words once stop words are dropped, each joined by a blank."""
     content = F.filter(words, lambda w: ~w.isin(*STOP_WORDS))

@@ -24,27 +24,28 @@ def checks(answers: DataFrame, ascii_only: bool = False) -> DataFrame:
 def verdicts(rows: DataFrame, ascii_only: bool = False) -> DataFrame:
     """Adds verdict (grounded, method, reason) to rows with quote and chunk (null: not in the context)."""
     normal = T.normalize_ascii if ascii_only else T.normalize
-    words = T.tokens if ascii_only else T.nfc_tokens
-    rows = rows.withColumns({"_nq": normal(F.col("quote")), "_nc": normal(F.col("chunk")), "_tq": words(F.col("quote")), "_tc": words(F.col("chunk"))})
+    rows = rows.withColumns({"_nq": normal(F.col("quote")), "_nc": normal(F.col("chunk"))})
+    # Normalizing changes white space only after folding, so it leaves the words as they are; lists of words stay in the JVM.
+    rows = rows.withColumns({"_tq": T.tokens(F.col("_nq")), "_tc": T.tokens(F.col("_nc"))})
     cols = [F.col(c) for c in ("quote", "chunk", "_nq", "_nc", "_tq", "_tc")]
     return rows.withColumn("verdict", T.grounding(*cols)).drop("_nq", "_nc", "_tq", "_tc")
 
 
-def report(answers: DataFrame, checked: DataFrame) -> DataFrame:
-    """query_id, n_citations, n_grounded, attribution_rate (0 without citations), unsupported ids in order."""
+def tally(checked: DataFrame) -> DataFrame:
+    """query_id, n_citations, n_grounded, attribution_rate, unsupported ids in order, of answers with citations."""
     sums = checked.groupBy("query_id").agg(
         F.count(F.lit(1)).alias("n_citations"),
         F.count_if("grounded").alias("n_grounded"),
         F.sort_array(F.collect_list(F.when(~F.col("grounded"), F.struct("pos", "chunk_id")))).alias("_u"),
     )
-    n, good = F.coalesce("n_citations", F.lit(0)), F.coalesce("n_grounded", F.lit(0))
-    return answers.select("query_id").join(sums, "query_id", "left").select(
-        "query_id",
-        n.alias("n_citations"),
-        good.alias("n_grounded"),
-        F.coalesce(F.try_divide(good.cast("double"), n), F.lit(0.0)).alias("attribution_rate"),
-        F.coalesce(F.transform("_u", lambda x: x["chunk_id"]), F.array().cast("array<string>")).alias("unsupported"),
-    )
+    rate = F.col("n_grounded").cast("double") / F.col("n_citations")
+    return sums.select("query_id", "n_citations", "n_grounded", rate.alias("attribution_rate"), F.transform("_u", lambda x: x["chunk_id"]).alias("unsupported"))
+
+
+def report(answers: DataFrame, checked: DataFrame) -> DataFrame:
+    """tally() of all answers; the rate is 0 without citations."""
+    none = {"n_citations": F.lit(0), "n_grounded": F.lit(0), "attribution_rate": F.lit(0.0), "unsupported": F.array().cast("array<string>")}
+    return answers.select("query_id").join(tally(checked), "query_id", "left").select("query_id", *(F.coalesce(c, v).alias(c) for c, v in none.items()))
 
 
 def rollup(reports: DataFrame) -> DataFrame:
