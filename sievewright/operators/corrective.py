@@ -79,7 +79,7 @@ def run(
     state = queries.select("query_id", "query", F.col("query").alias("current_query"), F.lit(0).alias("n_rewrites"))
     finished: list[DataFrame] = []
     for _ in range(settings.max_query_rewrites + 1):
-        found = retrieve(state.select("query_id", F.col("current_query").alias("query")))
+        found = cut(retrieve(state.select("query_id", F.col("current_query").alias("query"))))  # it is read twice
         found = found.drop("query").join(state.select("query_id", F.col("current_query").alias("query")), "query_id")
         graded = found.join(grade(found).select("query_id", "chunk_id", "relevant"), ["query_id", "chunk_id"], "left")
         keep = F.coalesce("relevant", F.lit(True))

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
@@ -38,8 +38,8 @@ def hashed_sparse(rows: DataFrame, key: str, text: str = "text", dim: int = 256)
 def hashed_embedding(text: Column, dim: int = 256) -> Column:
     """The same as an array, row by row; the slot of each token is worked out once a worker."""
 
-    @F.pandas_udf("array<double>")
-    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<double>")
+    def embed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         slots: dict[str, tuple[int, int]] = {}
 
         def slot(token: str) -> tuple[int, int]:
@@ -50,16 +50,15 @@ def hashed_embedding(text: Column, dim: int = 256) -> Column:
                 slots[token] = (int.from_bytes(h[:8], "big") % dim, 1 if h[8] % 2 else -1)
             return slots[token]
 
-        for s in batches:
-            out = []
-            for words in s:
-                v = np.zeros(dim)
-                for w in words if words is not None else ():
-                    bucket, sign = slot(w)
-                    v[bucket] += sign
-                norm = np.linalg.norm(v)
-                out.append(v / norm if norm else v)
-            yield pd.Series(out)
+        for words in batches:
+            n = len(words)
+            coded = words.flatten().dictionary_encode()
+            found = np.array([slot(t) for t in coded.dictionary.to_pylist()], np.int64).reshape(-1, 2)[coded.indices.to_numpy()]
+            row = np.repeat(np.arange(n), words.value_lengths().fill_null(0).to_numpy())
+            v = np.bincount(row * dim + found[:, 0], weights=found[:, 1], minlength=n * dim).astype(float).reshape(n, dim)
+            norm = np.linalg.norm(v, axis=1, keepdims=True)
+            v = np.divide(v, norm, out=v, where=norm > 0)
+            yield pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * dim), pa.array(v.ravel()))
 
     return embed(T.tokens(text))
 
@@ -92,10 +91,10 @@ class Bm25:
 def bm25_index(chunks: DataFrame, key: str = "chunk_id", order: str = "corpus_idx", k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> Bm25:
     """Fits the statistics. Terms in over half of the chunks get epsilon times the mean idf in place of a negative one.
 
-    The postings are kept, spilling to disk, since scoring reads them once more.
+    The postings and lengths are kept, spilling to disk, since scoring reads them once more.
     """
     found = postings(chunks, key).persist(StorageLevel.MEMORY_AND_DISK)
-    lengths = chunks.select(key, F.col(order).alias("corpus_idx"), F.size(T.tokens(F.col("text"))).cast("long").alias("dl"))
+    lengths = chunks.select(key, F.col(order).alias("corpus_idx"), F.size(T.tokens(F.col("text"))).cast("long").alias("dl")).persist(StorageLevel.MEMORY_AND_DISK)
     stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
     n = stats["n"]
     df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))

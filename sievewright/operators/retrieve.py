@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +15,10 @@ from .index import Bm25
 
 #: Queries whose vectors are sent to all tasks at once; more go in as many passes.
 QUERY_BLOCK = 4096
+#: Numbers of a matrix that a task makes of a part of its rows.
+CELLS = 2_000_000
+#: Queries whose words are made one matrix.
+SPARSE_BLOCK = 512
 #: Scores are ranked on so many digits, so that the order of adding up can't change a rank.
 DIGITS = 9
 
@@ -55,8 +60,9 @@ def _dense_block(held: list, vectors: DataFrame, k: int, key: str, order: str, s
     matrix = np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows or not ids:
+        step = max(64, CELLS // max(1, len(ids)))
+        for batch in (b.slice(i, step) for b in batches for i in range(0, b.num_rows, step)):
+            if not ids:
                 continue
             column = batch.column(2)
             sizes = column.value_lengths().fill_null(0).to_numpy()
@@ -66,47 +72,131 @@ def _dense_block(held: list, vectors: DataFrame, k: int, key: str, order: str, s
             x[sizes > 0] = np.nan_to_num(column.flatten().to_numpy(zero_copy_only=False).astype(float)).reshape(-1, width)
             size = np.linalg.norm(x, axis=1)
             scores = np.clip(np.divide(matrix @ x.T, size, out=np.zeros((len(ids), len(x))), where=size > 0), -1, 1)
-            # Ties with the k-th stay in, for the order of the corpus to settle.
-            least = np.sort(np.round(scores, DIGITS), axis=1)[:, -min(k, len(x))]
-            q, at = np.nonzero(np.round(scores, DIGITS) >= least[:, None])
-            picked = pa.array(at)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([ids[i] for i in q], _arrow(schema)), batch.column(0).take(picked), batch.column(1).take(picked), pa.array(scores[q, at])],
-                names=["query_id", key, "corpus_idx", "score"],
-            )
+            q, at = _best(scores, batch.column(1), k)
+            yield _picked(ids, q, batch.column(0), batch.column(1), at, scores, schema, key)
 
     return vectors.select(F.col(key), F.col(order).alias("corpus_idx"), F.col("embedding").cast("array<double>")).mapInArrow(run, schema)
 
 
-def _arrow(schema: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "long": pa.int64(), "int": pa.int32()}.get(schema.split()[1].rstrip(","), pa.string())
+def _best(scores: np.ndarray, place: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k highest scores of each row; of equal ones those whose place comes first."""
+    order = pc.sort_indices(place, null_placement="at_start").to_numpy()
+    if len(order) <= k:
+        return np.nonzero(np.ones(scores.shape, bool))
+    found = np.round(scores[:, order], DIGITS) + 0.0
+    least = np.partition(found, len(order) - k, axis=1)[:, len(order) - k, None]
+    above, equal = found > least, found == least
+    q, at = np.nonzero(above | (equal & (np.cumsum(equal, axis=1) <= k - above.sum(axis=1, keepdims=True))))
+    return q, order[at]
 
 
-def bm25_parts(queries: DataFrame, index: Bm25) -> DataFrame:
-    """query_id, key, part: what each shared term adds to a chunk's score. queries: query_id, query.
+def _picked(ids: list, q: np.ndarray, keys: pa.Array, places: pa.Array, at: np.ndarray, scores: np.ndarray, schema: str, key: str) -> pa.RecordBatch:
+    picked = pa.array(at)
+    arrays = [pa.array([ids[i] for i in q], _arrow(schema)), keys.take(picked), places.take(picked), pa.array(scores[q, at])]
+    return pa.RecordBatch.from_arrays(arrays, names=["query_id", key, "corpus_idx", "score"])
 
-    Only postings of the queries' terms are joined. A term counts as often as the query has it.
-    """
-    terms = queries.select("query_id", F.explode(T.tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    weighted = terms.join(index.idf.select("term", "idf"), "term")
-    k1, b, avgdl = index.k1, index.b, index.avgdl or 1.0
-    hits = index.postings.join(weighted, "term").join(index.lengths.select(index.key, "dl"), index.key)
-    part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
-    return hits.select("query_id", index.key, part.alias("part"))
+
+def _arrow(schema: str) -> pa.DataType:
+    return {"bigint": pa.int64(), "long": pa.int64(), "int": pa.int32()}.get(schema.split()[1].rstrip(","), pa.string())
 
 
 def bm25_topk(queries: DataFrame, index: Bm25, k: int) -> DataFrame:
     """query_id, key, score, rank. All chunks count, those without a shared term with score 0; ties in corpus order.
 
-    As long as no score can be negative, the zeros that can get into the first k are among the first 2k chunks.
+    A term counts as often as the query has it. The postings of the queries' terms are dealt out by chunk, and each
+    task keeps its own best k a query: what is moved doesn't grow with the queries, and pairs of a query and a chunk are
+    never rows. Chunks with null keys are left out.
     """
     key = index.key
-    place = index.lengths.select(key, "corpus_idx")
-    fill = place if index.floor < 0 else F.broadcast(place.orderBy("corpus_idx").limit(2 * k))
-    # Zeros add nothing where there are other parts, so one sum serves all.
-    zeros = queries.select("query_id").distinct().crossJoin(fill.select(key)).withColumn("part", F.lit(0.0))
-    scored = bm25_parts(queries, index).unionByName(zeros).groupBy("query_id", key).agg(F.sum("part").alias("score"))
-    return ranked(scored.join(place, key), [F.desc(F.round("score", DIGITS)), F.asc("corpus_idx")], k).select("query_id", key, "score", "rank")
+    total = queries.count()
+    blocks = max(1, -(-total // QUERY_BLOCK))
+    out = None
+    for block in range(blocks):
+        part = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
+        found = _sparse_block(part, index, k)
+        out = found if out is None else out.unionByName(found)
+    return ranked(out, [F.desc(F.round("score", DIGITS)), F.asc("corpus_idx")], k).select("query_id", key, "score", "rank")
+
+
+def _sparse_block(queries: DataFrame, index: Bm25, k: int) -> DataFrame:
+    key = index.key
+    ids = [r["query_id"] for r in queries.select("query_id").distinct().collect()]
+    at = {q: i for i, q in enumerate(ids)}
+    terms = queries.select("query_id", F.explode(T.tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
+    rows = F.broadcast(terms).join(index.idf.select("term", "idf"), "term").select("query_id", "term", (F.col("times") * F.col("idf")).alias("w")).collect()
+    numbers = {t: i for i, t in enumerate(sorted({r["term"] for r in rows}))}
+    triples = np.array([(at[r["query_id"]], numbers[r["term"]], r["w"]) for r in rows], float).reshape(-1, 3)
+    spark = queries.sparkSession
+    asked = F.broadcast(spark.createDataFrame(list(numbers.items()), "term string, no int"))
+    # A chunk's row of lengths comes before its postings.
+    places = index.lengths.select(key, F.lit(-1).alias("no"), F.coalesce(F.col("dl").cast("long"), F.lit(0)).alias("n"), "corpus_idx")
+    posted = index.postings.join(asked, "term").select(key, "no", F.col("tf").cast("long").alias("n"), F.lit(None).cast(places.schema["corpus_idx"].dataType).alias("corpus_idx"))
+    by_chunk = places.unionByName(posted).filter(F.col(key).isNotNull()).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), key).sortWithinPartitions(key, "no")
+    k1, b, avgdl = index.k1, index.b, index.avgdl or 1.0
+    kinds = {c: index.lengths.schema[c].dataType.simpleString() for c in (key, "corpus_idx")}
+    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, {key} {kinds[key]}, corpus_idx {kinds['corpus_idx']}, score double"
+
+    def matrices() -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """(first query, column of each term or -1, weights by column and query) of each block of queries."""
+        out = []
+        for first in range(0, len(ids), SPARSE_BLOCK):
+            own = triples[(triples[:, 0] >= first) & (triples[:, 0] < first + SPARSE_BLOCK)]
+            used, column = np.unique(own[:, 1].astype(int), return_inverse=True)
+            weights = np.zeros((len(used), min(SPARSE_BLOCK, len(ids) - first)))
+            weights[column, own[:, 0].astype(int) - first] = own[:, 2]
+            places = np.full(len(numbers), -1)
+            places[used] = np.arange(len(used))
+            out.append((first, places, weights))
+        return out
+
+    def scored(chunks: pa.RecordBatch, made: list) -> Iterator[pa.RecordBatch]:
+        """chunks: whole chunks, each its rows of lengths (several if its key repeats) and then its postings."""
+        no, n = chunks.column(1).to_numpy(), chunks.column(2).to_numpy().astype(float)
+        heads = np.flatnonzero(no < 0)
+        if not len(heads):
+            return
+        fresh = np.append(True, np.diff(heads) > 1) | np.append(True, ~pc.equal(chunks.column(0).take(pa.array(heads[1:])), chunks.column(0).take(pa.array(heads[:-1]))).to_numpy(zero_copy_only=False))
+        group = np.cumsum(fresh) - 1
+        last = np.append(heads[1:], len(no))
+        ends = last[np.append(np.flatnonzero(fresh)[1:] - 1, len(heads) - 1)]
+        starts = heads[np.append(np.flatnonzero(fresh)[1:] - 1, len(heads) - 1)] + 1
+        long = (ends - starts)[group]
+        # Each row of lengths with all postings of its chunk.
+        row = np.repeat(np.arange(len(heads)), long)
+        entry = np.arange(len(row)) - np.repeat(np.cumsum(long) - long, long) + np.repeat(starts[group], long)
+        tf = n[entry]
+        part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * n[heads[row]] / avgdl))
+        keys, places = chunks.column(0).take(pa.array(heads)), chunks.column(3).take(pa.array(heads))
+        for first, column, weights in made:
+            at = column[no[entry]] if len(entry) else np.zeros(0, int)
+            x = np.zeros((len(heads), len(weights)))
+            x[row[at >= 0], at[at >= 0]] = part[at >= 0]
+            scores = x @ weights
+            if not fresh.all():
+                scores = np.add.reduceat(scores, np.flatnonzero(fresh), axis=0)[group]
+            q, best = _best(scores.T, places, k)
+            yield _picked(ids[first : first + SPARSE_BLOCK], q, keys, places, best, scores.T, schema, key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = matrices()
+        step = max(64, CELLS // max(1, *(max(w.shape) for _, _, w in made))) if made else 1
+        rest: list[pa.RecordBatch] = []
+        for batch in batches:
+            rest = [pa.concat_batches([*rest, batch])]
+            heads = np.flatnonzero(rest[0].column(1).to_numpy() < 0)
+            if len(heads) <= step:
+                continue
+            keys = rest[0].column(0).take(pa.array(heads))
+            fresh = np.append(True, ~pc.equal(keys.slice(1), keys.slice(0, len(keys) - 1)).to_numpy(zero_copy_only=False))
+            cuts = heads[fresh][:-1:step].tolist() + [int(heads[fresh][-1])]
+            for start, end in zip(cuts, cuts[1:], strict=False):
+                yield from scored(rest[0].slice(start, end - start), made)
+            rest = [rest[0].slice(cuts[-1])]
+        for part in rest:
+            heads = np.flatnonzero(part.column(1).to_numpy() < 0)
+            yield from scored(part.slice(int(heads[0])) if len(heads) else part, made)
+
+    return by_chunk.mapInArrow(run, schema)
 
 
 def rrf(rankings: list[DataFrame], key: str = "chunk_id", k: int = 60) -> DataFrame:
@@ -135,7 +225,7 @@ def sources(dense: Column, sparse: Column) -> Column:
 
 
 def hydrate(hits: DataFrame, chunks: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """Adds the chunks' columns; ids that aren't there go. Hits are few: they are the side that is moved."""
+    """Adds the chunks' columns; ids that aren't there go."""
     return hits.join(chunks, key)
 
 
@@ -190,7 +280,10 @@ def hybrid(
     dense = dense_topk(queries, vectors, top_k_dense, key, order)
     sparse = bm25_topk(queries, index, top_k_sparse)
     fused = rrf([dense, sparse], key, rrf_k).filter(F.col("rank") <= max(k, pool_factor * k))
-    pool = hydrate(fused.withColumn("sources", sources(F.col("r0"), F.col("r1"))).drop("r0", "r1"), chunks, key)
+    fused = fused.withColumn("sources", sources(F.col("r0"), F.col("r1"))).drop("r0", "r1")
+    # The hits of a block of queries are few: they are sent to the chunks, which then aren't moved.
+    few = queries.select("query_id").limit(QUERY_BLOCK + 1).count() <= QUERY_BLOCK
+    pool = hydrate(F.broadcast(fused) if few else fused, chunks, key)
     if reranker is None:
         return rerank_identity(pool, k)
     if callable(reranker):  # makes a model, see rerank_model

@@ -156,3 +156,13 @@ def test_live_models(spark):
     assert faith[1] == (2, 1, 0.5) and faith[2][0] == 2
     asked = {r["query_id"]: (r["questions"], r["noncommittal"]) for r in live.questions(rows, 2, model).collect()}
     assert asked == {1: (["what?", "which?"], False), 2: ([], True)}
+
+
+def test_sparse_search_makes_no_rows_of_pairs(spark, corpus):
+    fitted = index.bm25_index(corpus)
+    found = retrieve.bm25_topk(ask(spark, "apple banana", "rare"), fitted, 2)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Cross" not in plan and "query_id" not in plan.split("RepartitionByExpression", 1)[1]
+    assert [(r["query_id"], r["chunk_id"]) for r in found.orderBy("query_id", "rank").collect()][::2] == [(0, "c2"), (1, "c3")]
+    queries = ask(spark, "apple").withColumn("embedding", index.hashed_embedding(F.col("query")))
+    assert "strategy=broadcast" in retrieve.hybrid(queries, corpus, index.embed(corpus), fitted, k=2)._jdf.queryExecution().optimizedPlan().toString()
