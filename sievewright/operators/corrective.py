@@ -153,5 +153,5 @@ def once(queries: DataFrame, retrieve: Callable[[DataFrame], DataFrame], generat
     found = A.contexts(retrieve(queries.select("query_id", "query")))
     none = F.array().cast(found.schema["contexts"].dataType)
     rows = queries.select("query_id", "query").join(found, "query_id", "left").withColumn("contexts", F.coalesce("contexts", none))
-    answered = generate(rows)
+    answered = cut(generate(rows))
     return answered.join(V.report(answered, V.checks(answered, ascii_only)), "query_id")

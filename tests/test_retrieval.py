@@ -166,3 +166,12 @@ def test_sparse_search_makes_no_rows_of_pairs(spark, corpus):
     assert [(r["query_id"], r["chunk_id"]) for r in found.orderBy("query_id", "rank").collect()][::2] == [(0, "c2"), (1, "c3")]
     queries = ask(spark, "apple").withColumn("embedding", index.hashed_embedding(F.col("query")))
     assert "strategy=broadcast" in retrieve.hybrid(queries, corpus, index.embed(corpus), fitted, k=2)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_plain_answers_are_worked_out_once(spark):
+    from sievewright.operators import corrective
+
+    passage = lambda q: q.select("query_id", F.lit(1).alias("rank"), F.lit("c").alias("chunk_id"), F.lit("p").alias("rel_path"), F.array().cast("array<string>").alias("heading_path"), F.uuid().alias("text"))
+    done = corrective.once(ask(spark, "alpha"), passage)
+    assert "uuid" not in done._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert done.first()["n_grounded"] == 1
