@@ -13,8 +13,9 @@ copy of their sums; beyond, the same steps, with the same test of convergence, a
 of cells. Documents themselves are only read once for counting and once for sampling.
 
 A document's topic is the nearest of TOPICS clusters by the words it has, of LEAST bytes or more, hashed to SLOTS and
-weighted by the logarithm of their counts. The clusters are fitted on about SAMPLE documents chosen by a hash (twice as
-many at most); every document is then assigned. Texts without such words have topic -1.
+weighted by the logarithm of their counts. The clusters are fitted on all documents: their hashed words are written
+once, and each step of the fit is a pass over them that adds up whole numbers, so that the clusters don't depend on how
+rows are dealt out. Texts without such words have topic -1.
 
 Defined cases: null source or language is a value of its own; null text is empty text, with no words, which is
 kept only if the budget covers the corpus; rows that repeat a doc_id are kept or left together, and so are all of a null
@@ -24,8 +25,9 @@ which are replaced; an empty table gives no rows.
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
+import pickle
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import anchors
-from .common import cut_lineage, tidy
+from .common import cut_lineage, shared_folder, tidy
 from .seed_extend import words
 from .suffix_dedup import flat
 
@@ -42,8 +44,12 @@ DIMENSIONS = ("source", "lang", "topic")
 #: Powers of the corpus's shares that make the default targets.
 TEMPER = {"source": 0.5, "lang": 0.7, "topic": 0.8}
 TOPICS, SLOTS, LEAST = 16, 256, 4
-#: Documents that the clusters are fitted on, and rounds of fitting.
-SAMPLE, ROUNDS = 2000, 20
+#: Rounds of fitting, fewer if a round changes nothing.
+ROUNDS = 20
+#: Vectors of length 1 are whole multiples of 1 / UNIT.
+UNIT = 1 << 20
+#: Vectors that a step of the fit takes at a time.
+STEP = 2048
 #: Share of the corpus's tokens that is sampled.
 BUDGET = 0.5
 CELLS = 200_000
@@ -69,36 +75,99 @@ def term_counts(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.nda
         row = last
 
 
-def topic_model(docs: DataFrame, row_id: str) -> tuple[np.ndarray, np.ndarray]:
-    """Whole-numbered centres and offsets of TOPICS clusters of the texts, by spherical k-means on about SAMPLE of them.
+def nearest(weights: np.ndarray, centres: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The topic of each row of weights, -1 for zeros. Whole numbers under 2**53: exact, so it is the same wherever it is worked out."""
+    size = np.rint(np.linalg.norm(weights, axis=1))
+    best = np.argmax(1000 * (weights @ centres.T) - size[:, None] * offsets[None, :], axis=1)
+    return np.where(size > 0, best, -1)
+
+
+def units(weights: np.ndarray) -> np.ndarray:
+    return np.rint(UNIT * weights / np.linalg.norm(weights, axis=1, keepdims=True))
+
+
+def passed(vectors: DataFrame, step: Callable[[list, np.ndarray], list]) -> list[list]:
+    """What step makes of each task's vectors: it takes what it returned for those before, at first an empty list."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state: list = []
+        for batch in batches:
+            for part in (batch.slice(i, STEP) for i in range(0, batch.num_rows, STEP)):
+                data = np.frombuffer(b"".join(part.column(0).to_pylist()), "<u2").reshape(-1, SLOTS)
+                state = step(state, data.astype(float))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(state)], pa.binary())], names=["state"])
+
+    return [x for x in (pickle.loads(r["state"]) for r in vectors.mapInArrow(tidy(run), "state binary").collect()) if x]
+
+
+def topic_model(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Whole-numbered centres and offsets of TOPICS clusters of all texts, by spherical k-means.
 
     docs: the texts as the last column.
     """
-    text = docs.columns[-1]
-    share = min(1.0, SAMPLE / max(1, docs.count()))
-    few = docs.filter(F.pmod(F.xxhash64(row_id, text), F.lit(1 << 30)) < math.ceil(share * (1 << 30))).select(text).limit(2 * SAMPLE)
+    spark = docs.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, weights, _ in term_counts(batch):
-                yield pa.RecordBatch.from_arrays([pa.array([w.tobytes() for w in weights.astype("<f8")], pa.binary())], names=["x"])
+                some = weights[weights.any(axis=1)]
+                yield pa.RecordBatch.from_arrays([pa.array([w.tobytes() for w in some.astype("<u2")], pa.binary())], names=["x"])
 
-    rows = sorted(bytes(r["x"]) for r in few.mapInArrow(run, "x binary").collect())
-    x = np.frombuffer(b"".join(rows), "<f8").reshape(len(rows), SLOTS)
-    x = x[x.any(axis=1)]
-    if not len(x):
+    folder = f"{shared_folder(spark)}/topics-{uuid.uuid4().hex}"
+    docs.select(docs.columns[-1]).mapInArrow(tidy(run), "x binary").write.parquet(folder)
+    try:
+        return fitted(spark.read.parquet(folder))
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fitted(vectors: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The clusters of vectors (x: SLOTS whole numbers, none all zero)."""
+
+    def start(state: list, weights: np.ndarray) -> list:
+        """Number, sum, and the first by its numbers."""
+        own = [len(weights), units(weights).sum(axis=0), min(map(tuple, weights[np.lexsort(weights.T[::-1])[:1]]))] if len(weights) else []
+        return [state[0] + own[0], state[1] + own[1], min(state[2], own[2])] if state and own else state or own
+
+    parts = passed(vectors, start)
+    if not parts:
         return np.zeros((1, SLOTS)), np.zeros(1)
-    mean = (x / np.linalg.norm(x, axis=1, keepdims=True)).mean(axis=0)
-    unit = x / np.linalg.norm(x, axis=1, keepdims=True) - mean
-    centres, far = unit[:1], np.full(len(unit), np.inf)
-    for _ in range(min(TOPICS, len(unit)) - 1):  # each next centre is the text that is furthest from those before
-        far = np.minimum(far, ((unit - centres[-1]) ** 2).sum(axis=1))
-        centres = np.append(centres, unit[[int(np.argmax(far))]], axis=0)
+    mean = sum(p[1] for p in parts) / sum(p[0] for p in parts) / UNIT
+    chosen = np.array([min(p[2] for p in parts)])
+    while len(chosen) < TOPICS:  # each next centre is the text that is furthest from those before
+        held = units(chosen)
+
+        def furthest(state: list, weights: np.ndarray, held: np.ndarray = held) -> list:
+            """Squared distance, and of those as far the first by its numbers."""
+            own = units(weights)
+            far = ((own**2).sum(axis=1)[:, None] + (held**2).sum(axis=1) - 2 * own @ held.T).min(axis=1)
+            at = np.flatnonzero(far == far.max(initial=-1))
+            return min([*([state] if state else []), *([-far[i], tuple(weights[i])] for i in at[np.lexsort(weights[at].T[::-1])[:1]])], default=[])
+
+        far, following = min(passed(vectors, furthest))
+        if far >= 0:  # no other text is left
+            break
+        chosen = np.append(chosen, [following], axis=0)
+    centres, offsets = rounded(units(chosen) / UNIT - mean, mean)
     for _ in range(ROUNDS):
-        size = np.linalg.norm(centres, axis=1, keepdims=True)
-        centres = np.divide(centres, size, out=np.zeros_like(centres), where=size > 0)
-        nearest = np.argmax(unit @ centres.T, axis=1)
-        centres = np.stack([unit[nearest == k].sum(axis=0) if (nearest == k).any() else centres[k] for k in range(len(centres))])
+
+        def sums(state: list, weights: np.ndarray, centres: np.ndarray = centres, offsets: np.ndarray = offsets) -> list:
+            topic, own = nearest(weights, centres, offsets), units(weights)
+            member = (topic == np.arange(len(centres))[:, None]).astype(float)
+            new = [member.sum(axis=1), member @ own]
+            return [a + b for a, b in zip(state, new, strict=True)] if state else new
+
+        parts = passed(vectors, sums)
+        n, total = sum(p[0] for p in parts)[:, None], sum(p[1] for p in parts)
+        before = centres
+        centres, offsets = rounded(np.where(n > 0, total / UNIT - n * mean, centres), mean)
+        if np.array_equal(before, centres):
+            break
+    return centres, offsets
+
+
+def rounded(centres: np.ndarray, mean: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     size = np.linalg.norm(centres, axis=1, keepdims=True)
     centres = np.rint(np.divide(1000 * centres, size, out=np.zeros_like(centres), where=size > 0))
     return centres, np.rint(1000 * centres @ mean)
@@ -107,17 +176,14 @@ def topic_model(docs: DataFrame, row_id: str) -> tuple[np.ndarray, np.ndarray]:
 def described(docs: DataFrame, text: str = "text", row_id: str = "doc_id") -> DataFrame:
     """Adds topic int and tokens long (words between white space)."""
     keep = [c for c in docs.columns if c not in ("topic", "tokens")]
-    shared = docs.sparkSession.sparkContext.broadcast(topic_model(docs.select(row_id, F.coalesce(F.col(text), F.lit("")).alias("_described")), row_id))
+    shared = docs.sparkSession.sparkContext.broadcast(topic_model(docs.select(F.coalesce(F.col(text), F.lit("")).alias("_described"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centres, offsets = shared.value
         for batch in batches:
             topics, tokens = [], []
             for _, weights, n in term_counts(batch):
-                size = np.rint(np.linalg.norm(weights, axis=1))
-                # Whole numbers under 2**53: exact, so a row's topic is the same wherever it is worked out.
-                best = np.argmax(1000 * (weights @ centres.T) - size[:, None] * offsets[None, :], axis=1)
-                topics.append(np.where(size > 0, best, -1))
+                topics.append(nearest(weights, centres, offsets))
                 tokens.append(n)
             if topics:
                 arrays = [*batch.columns[:-1], pa.array(np.concatenate(topics).astype(np.int32)), pa.array(np.concatenate(tokens).astype(np.int64))]

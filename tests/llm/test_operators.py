@@ -606,3 +606,14 @@ def test_fingerprints_of_odd_rows(spark, tmp_path, empty):
             own, after = following[r["doc_id"]], following[r["doc_id"] - 1]
             half = len(own) // 2
             assert r["edited_sha256"] == hashlib.sha256((own[: len(own) - half] + after[:half]).encode()).hexdigest()
+
+
+def test_topics_are_fitted_on_all_documents(spark):
+    """Single texts of other words are topics of their own, which a sample would miss."""
+    rare = ["zebra quagga okapi", "basalt granite gneiss", "sonata fugue toccata"]
+    rows = [(i, f"common words number{i % 30} group{i % 7} everywhere") for i in range(9000)] + [(9000 + i, t) for i, t in enumerate(rare)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    topics = [{r["doc_id"]: r["topic"] for r in mixing.described(docs.repartition(n)).collect()} for n in (3, 5)]
+    assert topics[0] == topics[1]
+    common = {topics[0][i] for i in range(9000)}
+    assert len({topics[0][9000 + i] for i in range(3)} - common) == 3
