@@ -80,7 +80,11 @@ def _dense_block(held: list, vectors: DataFrame, k: int, key: str, order: str, s
 
 def _best(scores: np.ndarray, place: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, column) of the k highest scores of each row; of equal ones those whose place comes first."""
-    order = pc.sort_indices(place, null_placement="at_start").to_numpy()
+    if pa.types.is_struct(place.type):
+        rows = [tuple((v is not None, v) for v in x.values()) for x in place.to_pylist()]
+        order = np.array(sorted(range(len(rows)), key=rows.__getitem__), int)
+    else:
+        order = pc.sort_indices(place, null_placement="at_start").to_numpy()
     if len(order) <= k:
         return np.nonzero(np.ones(scores.shape, bool))
     found = np.round(scores[:, order], DIGITS) + 0.0
